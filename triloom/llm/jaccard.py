@@ -12,10 +12,11 @@ a threshold.  The join is exact and never meets all pairs of a group:
    linking pair meets in a block, and a thousand near copies meet in few.
 3. A block is a signature tree: leaves are sets, nodes hold OR-combined token
    bitmaps, size ranges and the largest number of colliding tokens.  A dual
-   traversal drops node pairs whose greatest possible overlap is too small, or
-   whose members are connected already; leaf pairs that stay are verified on
-   the whole sets.  A block reports the links that connect it, at most one per
-   member, not all pairs.
+   traversal drops node pairs whose greatest possible overlap is too small.  It
+   runs first over bitmaps alone, and members that can link with nobody leave.
+   For the others the texts follow: the traversal then also passes over nodes
+   whose members are connected already, and verifies leaf pairs on the whole
+   sets.  A block reports the links that connect it, at most one per member.
 4. Blocks of more than ``BLOCK`` members are cut into chunks that all hold the
    leader.  After the chunks' links are joined, the smaller components of a cut
    block meet all of its chunks, so no link between chunks is lost.
@@ -26,7 +27,7 @@ order; every element and row takes part.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,25 @@ def prefix(elements: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarr
     return elements[:keep]
 
 
+def signature(elements: np.ndarray, width: int = 0) -> np.ndarray:
+    """The bitmap of a set, by default with about as many bits as the set has elements."""
+    if not width:
+        width = 64
+        while width < len(elements) and width < 1 << 15:
+            width *= 2
+    flags = np.zeros(width, np.uint8)
+    flags[(elements & np.uint64(width - 1)).astype(np.int64)] = 1
+    return np.packbits(flags, bitorder="little").view(np.uint64)
+
+
+def fold(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap in fewer bits: that of the same set at the smaller width."""
+    while len(bits) > width // 64:
+        half = len(bits) // 2
+        bits = bits[:half] | bits[half:]
+    return bits
+
+
 def _fingerprint(elements: np.ndarray, row_id) -> bytes:
     if not len(elements):
         return b"0" + str(row_id).encode()
@@ -92,8 +112,9 @@ def _describe(words: int, percent: int, frequent: np.ndarray):
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([_fingerprint(s, i) for s, i in zip(sets, ids.to_pylist(), strict=True)], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(heads), pa.int64())),
+                        pa.array([signature(s).tobytes() for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "fp", "prefix"],
+                    names=["id", "n", "fp", "prefix", "bits"],
                 )
 
     return run
@@ -128,26 +149,31 @@ def frequent_elements(texts: DataFrame, words: int, sample: int = SAMPLE, most:
     return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
 
 
-def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (token, id) in order: for each id but the first of a token, (id, first)."""
-    last_token = last_leader = None
-    for batch in batches:
-        token, ids = (batch.column(k).to_numpy() for k in (0, 1))
-        if not len(token):
-            continue
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        goes_on = last_token is not None and token[0] == last_token
-        new[0] = not goes_on
-        at = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
-        leader = ids[at]
-        if goes_on:
-            run = int(np.argmax(new)) if new.any() else len(token)
-            leader[:run] = last_leader
-        last_token, last_leader = token[-1], leader[-1]
-        pairs = np.unique(np.stack([ids, leader], 1)[ids != leader], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "leader"])
+def _leaders(percent: int):
+    """Rows (token, n, id) in order: for each id but the first of a run, (id, first of the run).
+
+    A run is one token's rows as far as sizes follow closely enough to link.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            token, n, ids = (batch.column(k).to_numpy() for k in (0, 1, 2))
+            if not len(token):
+                continue
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (100 * n[:-1] < percent * n[1:])
+            goes_on = last is not None and token[0] == last[0] and 100 * last[1] >= percent * n[0]
+            new[0] = not goes_on
+            leader = ids[np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))]
+            if goes_on:
+                leader[: int(np.argmax(new)) if new.any() else len(token)] = last[2]
+            last = token[-1], n[-1], leader[-1]
+            pairs = np.unique(np.stack([ids, leader], 1)[ids != leader], axis=0)
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["id", "leader"])
+
+    return run
 
 
 class SignatureTree:
@@ -155,28 +181,20 @@ class SignatureTree:
 
     FAN = 8
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray], percent: int, sets: list[np.ndarray] | None = None):
         self.percent = percent
-        sizes = np.array([len(s) for s in sets], np.int64)
-        band = np.floor(np.log(np.maximum(sizes, 1)) / -np.log(percent / 100)) if percent < 100 else sizes
-        self.order = np.lexsort((sizes, [int(s[0]) for s in sets], band))
-        self.sets = [sets[i] for i in self.order]
+        self.order = np.lexsort((sizes, [int(b[0]) for b in bits], bands(sizes, percent)))
+        self.sets = [sets[i] for i in self.order] if sets else None
         self.sizes = sizes[self.order]
-        width = 64
-        while width < 2 * int(sizes.max(initial=1)) and width < 1 << 15:
-            width *= 2
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for row, s in enumerate(self.sets):
-            flags = np.zeros(width, np.uint8)
-            flags[(s & np.uint64(width - 1)).astype(np.int64)] = 1
-            bits[row] = np.packbits(flags, bitorder="little").view(np.uint64)
+        width = 64 * min(map(len, bits))
+        bits = np.stack([fold(bits[i], width) for i in self.order])
         extra = self.sizes - np.bitwise_count(bits).sum(1, dtype=np.int64)
         self.levels = [(bits, self.sizes, self.sizes, extra)]
         while len(self.levels[-1][0]) > self.FAN:
             b, low, high, more = self.levels[-1]
             cut = np.arange(0, len(b), self.FAN)
             self.levels.append((np.bitwise_or.reduceat(b, cut), np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.maximum.reduceat(more, cut)))
-        self.label = np.arange(len(sets))
+        self.label = np.arange(len(sizes))
 
     def fits(self, level: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether node pairs may hold sets that link, by size and by greatest overlap."""
@@ -194,8 +212,8 @@ class SignatureTree:
         shared = int(np.count_nonzero(b[at] == a))
         return 100 * shared >= self.percent * (len(a) + len(b) - shared)
 
-    def connect(self) -> Iterator[tuple[int, int]]:
-        """Links (places in the given list) that connect what is not connected by ``label``."""
+    def pairs(self, done: Callable[[slice, slice], bool]) -> Iterator[tuple[int, int]]:
+        """Leaf pairs that may link; ``done`` says of two nodes' leaves that their pairs don't matter."""
         stack = [(len(self.levels) - 1, -1, -1)]
         while stack:
             level, i, j = stack.pop()
@@ -203,9 +221,7 @@ class SignatureTree:
             a = np.arange(count) if i < 0 else np.arange(i * self.FAN, min((i + 1) * self.FAN, count))
             b = a if i == j else np.arange(j * self.FAN, min((j + 1) * self.FAN, count))
             span = self.FAN**level
-            own = self.label[a[0] * span : (a[-1] + 1) * span]
-            other = self.label[b[0] * span : (b[-1] + 1) * span]
-            if own.min() == own.max() == other.min() == other.max():
+            if done(slice(a[0] * span, (a[-1] + 1) * span), slice(b[0] * span, (b[-1] + 1) * span)):
                 continue
             x, y = (k.ravel() for k in np.meshgrid(a, b, indexing="ij"))
             if i == j:
@@ -215,17 +231,77 @@ class SignatureTree:
             if level:
                 stack.extend((level - 1, int(p), int(q)) for p, q in zip(x[ok], y[ok], strict=True))
                 continue
-            for p, q in zip(x[ok].tolist(), y[ok].tolist(), strict=True):
-                if self.label[p] != self.label[q] and self.linked(p, q):
-                    self.label[self.label == self.label[q]] = self.label[p]
-                    yield int(self.order[p]), int(self.order[q])
+            yield from zip(x[ok].tolist(), y[ok].tolist(), strict=True)
+
+    def connect(self) -> Iterator[tuple[int, int]]:
+        """Links (places in the given list) that connect what is not connected by ``label``."""
+
+        def together(a: slice, b: slice) -> bool:
+            own, other = self.label[a], self.label[b]
+            return own.min() == own.max() == other.min() == other.max()
+
+        for p, q in self.pairs(together):
+            if self.label[p] != self.label[q] and self.linked(p, q):
+                self.label[self.label == self.label[q]] = self.label[p]
+                yield int(self.order[p]), int(self.order[q])
+
+    def hopeful(self) -> np.ndarray:
+        """Places of the sets that may link with another, by bitmaps alone."""
+        found = np.zeros(len(self.sizes), bool)
+        for p, q in self.pairs(lambda a, b: bool(found[a].all() and found[b].all())):
+            found[p] = found[q] = True
+        return self.order[found]
+
+
+def bands(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Numbers of size bands; sets that link are in the same band or in neighbours."""
+    if percent >= 100:
+        return sizes
+    return np.floor(np.log(np.maximum(sizes, 1)) / (-np.log(percent / 100) * (1 + 1e-6))).astype(np.int64)
+
+
+def hopeful(sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Places of the sets that may link with another, by a tree for each two neighbouring bands."""
+    found = np.zeros(len(sizes), bool)
+    of = bands(sizes, percent)
+    for band in np.unique(of):
+        at = np.flatnonzero((of == band) | (of == band + 1))
+        if len(at) > 1 and not found[at].all():
+            found[at[SignatureTree(sizes[at], [bits[i] for i in at], percent).hopeful()]] = True
+    return np.flatnonzero(found)
+
+
+def _block_hopes(percent: int):
+    """Rows (block, id, label, n, bits) in order of block: (block, id, label) of those that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, labels, sizes, bits = None, [], [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(ids) > 1 and len(at := hopeful(np.array(sizes), bits, percent)):
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(at)), pa.array([ids[i] for i in at], pa.int64()), pa.array([labels[i] for i in at], pa.int64())], names=["block", "id", "label"])
+
+        for batch in batches:
+            for name, i, label, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != block:
+                    yield from close()
+                    block, ids, labels, sizes, bits = name, [], [], [], []
+                ids.append(i)
+                labels.append(label)
+                sizes.append(n)
+                bits.append(np.frombuffer(raw, np.uint64))
+        yield from close()
+
+    return run
 
 
 def _block_links(words: int, percent: int):
     """Rows (block, id, label, text) in order of block: the links that connect each block."""
 
     def links(ids: list, labels: list, sets: list[np.ndarray]) -> pa.RecordBatch | None:
-        tree = SignatureTree(sets, percent)
+        sizes = np.array([len(s) for s in sets])
+        width = 64 * len(signature(sets[int(sizes.argmax())]))
+        tree = SignatureTree(sizes, [signature(s, 2 * width) for s in sets], percent, sets)
         if labels[0] is not None:
             tree.label = np.unique(np.array(labels)[tree.order], return_inverse=True)[1]
         pairs = [(ids[p], ids[q]) for p, q in tree.connect()]
@@ -254,9 +330,11 @@ def _block_links(words: int, percent: int):
     return run
 
 
-def _traverse(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _traverse(members: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links found in blocks; ``members``: (block, id, label)."""
-    rows = members.join(texts, "id").select("block", "id", "label", "text")
+    rows = members.join(sets.where("n > 0").select("id", "n", "bits"), "id").select("block", "id", "label", "n", "bits")
+    hopes = rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_hopes(percent), "block string, id long, label long")
+    rows = hopes.distinct().join(texts, "id").select("block", "id", "label", "text")
     return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_links(words, percent), "a long, b long")
 
 
@@ -275,14 +353,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_elements(texts, words)
-    sets = written(texts.mapInArrow(_describe(words, percent, frequent), "id long, n long, fp binary, prefix array<long>"))
+    sets = written(texts.mapInArrow(_describe(words, percent, frequent), "id long, n long, fp binary, prefix array<long>, bits binary"))
     same = sets.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
     mine = sets.where("n > 0").join(same.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi")
-    sent = mine.select("id", F.explode("prefix").alias("token"))
+    sent = mine.select("id", "n", F.explode("prefix").alias("token"))
     common = sets.sparkSession.createDataFrame([(int(x),) for x in frequent.view(np.int64)], "token long")
     often = sent.join(F.broadcast(common), "token", "left_semi")
-    seldom = sent.join(F.broadcast(common), "token", "left_anti").select("token", "id")
-    cold = seldom.repartition("token").sortWithinPartitions("token", "id").mapInArrow(_leaders, "id long, leader long")
+    seldom = sent.join(F.broadcast(common), "token", "left_anti").select("token", "n", "id")
+    cold = seldom.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_leaders(percent), "id long, leader long")
     first = often.groupBy("token").agg(F.min("id").alias("leader"))
     hot = often.join(F.broadcast(first), "token").where("id <> leader").select("id", "leader")
     pairs = written(cold.union(hot).distinct())
@@ -296,10 +374,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = counted.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks")
     named = F.concat_ws("/", "leader", "chunk").alias("block")
     members = cut.union(heads).select(named, "id", F.lit(None).cast("long").alias("label"))
-    links = written(_traverse(members, texts, words, percent))
+    links = written(_traverse(members, sets, texts, words, percent))
     joined = components(links, "a", "b")
     if counted.where("chunks > 1").limit(1).count():
-        links = written(links.union(_between(cut.where("chunks > 1"), joined, texts, words, percent)))
+        links = written(links.union(_between(cut.where("chunks > 1"), joined, sets, texts, words, percent)))
         joined = components(links, "a", "b")
 
     named = same.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
@@ -310,7 +388,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def _between(cut: DataFrame, joined: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def _between(cut: DataFrame, joined: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Links between the chunks of cut blocks, tried only between components."""
     rows = cut.join(joined, "id", "left").select("leader", "id", "chunks", F.coalesce("component", "id").alias("label"))
     rows = written(rows)
@@ -325,4 +403,4 @@ def _between(cut: DataFrame, joined: DataFrame, texts: DataFrame, words: int, pe
     spread = rows.where("minor").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), half - 1)))
     small = spread.select("leader", F.pmod(F.xxhash64("id"), half).alias("mine"), "part", "id", "label")
     members = lone.union(small).select(F.concat_ws("/", "leader", "mine", "part").alias("block"), "id", "label")
-    return _traverse(members, texts, words, percent)
+    return _traverse(members, sets, texts, words, percent)
