@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import jaccard
+from . import decontaminate, jaccard, tokencount, urlfilter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,9 +38,75 @@ FROM s JOIN (SELECT id, min(reach) AS component_id FROM r GROUP BY 1) m ON m.id
 """
 
 
+#: Rules of the url query, in the operator's own form.
+URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page url judged by the longest fitting rule."""
+    rules = spark.createDataFrame(URL_RULES, "rule string, verdict string")
+    return urlfilter.judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+SQL_OP1 = f"""
+WITH u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), b AS (SELECT page_id, split_part(split_part(rest, '#', 1), '?', 1) AS bare FROM u
+), p AS (
+  SELECT page_id, translate(split_part(bare, '/', 1), '{UPPER}', '{LOWER}') AS host, substr(bare, length(split_part(bare, '/', 1)) + 1) AS path FROM b
+), r(rule, verdict) AS (VALUES {", ".join(f"('{r}', '{v}')" for r, v in URL_RULES)}
+), k AS (SELECT rule, verdict, split_part(rule, '/', 1) AS h, substr(rule, strpos(rule, '/')) AS q FROM r
+), m AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM p JOIN k ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q) GROUP BY 1
+)
+SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM p LEFT JOIN m USING (page_id)
+"""
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by the 32k piece vocabulary."""
+    import public_tokenizers
+
+    return tokencount.token_counts(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every text shares with the benchmark in windows of ten words."""
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"), cut_from=1 << 30)
+    return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
+
+
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+SQL_OP7 = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents
+), i AS (SELECT item_id, {_WORDS} AS words FROM benchmark
+), w AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS n, array_to_string(words[p:p + least(10, len(words)) - 1], ' ') AS run
+  FROM (SELECT item_id, words, unnest(range(1, len(words) - least(10, len(words)) + 2)) AS p FROM i WHERE len(words) > 0)
+), g AS (
+  SELECT doc_id, p, n, array_to_string(words[p:p + n - 1], ' ') AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS p FROM d), (SELECT DISTINCT n FROM w) WHERE p + n - 1 <= len(words)
+), m AS (SELECT doc_id, p, n, item_id FROM g JOIN w USING (n, run)
+), h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1
+), t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY 1
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_hit, coalesce(t.n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(t.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_ngram_jaccard": op4_ngram_jaccard}
+    """Queries by name."""
+    return {
+        "op1_url_filter": op1_url_filter,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op6_token_counts": op6_token_counts,
+        "op7_decontamination": op7_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_ngram_jaccard": SQL_OP4}
+    """DuckDB SQL by name."""
+    return {"op1_url_filter": SQL_OP1, "op4_ngram_jaccard": SQL_OP4, "op7_decontamination": SQL_OP7}
