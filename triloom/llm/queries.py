@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, tokencount, urlfilter
+from . import decontaminate, jaccard, langid, tokencount, urlfilter, vectors
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -97,16 +97,47 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from texts that are not held out."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.where(~held_out), vocabulary)
+    found = langid.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model, vocabulary)
+    return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with a cosine of 0.95 or more."""
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+SQL_OP9 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (SELECT vec_id AS id, vec_id AS reach FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a
+), m AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT m.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.component_id = m.id AS kept FROM m LEFT JOIN n ON n.a = m.id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
+        "op9_embedding_dedup": op9_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op1_url_filter": SQL_OP1, "op4_ngram_jaccard": SQL_OP4, "op7_decontamination": SQL_OP7}
+    return {"op1_url_filter": SQL_OP1, "op4_ngram_jaccard": SQL_OP4, "op7_decontamination": SQL_OP7, "op9_embedding_dedup": SQL_OP9}
