@@ -6,9 +6,9 @@ a threshold.  The join is exact and never meets all pairs of a group:
 1. One pass hashes every text to its set of n-grams.  Equal sets collapse into
    the row with the smallest id (their *representative*).
 2. Two sets that link share one of their first ``n - ceil(t n) + 1`` elements in
-   any fixed order.  Representatives send those prefix elements, rare ones
-   first, and every element names the smallest representative that sent it as
-   *leader*; ``(member, leader)`` pairs, made distinct, are the blocks.  So a
+   any fixed order.  Texts send those prefix elements, rare ones first, and
+   every element names the smallest text that sent it as *leader*; distinct
+   ``(representative, leader)`` pairs are the blocks.  So a
    linking pair meets in a block, and a thousand near copies meet in few.
 3. A block is a signature tree: leaves are sets, nodes hold OR-combined token
    bitmaps, size ranges and the largest number of colliding tokens.  A dual
@@ -355,17 +355,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     frequent = frequent_elements(texts, words)
     sets = written(texts.mapInArrow(_describe(words, percent, frequent), "id long, n long, fp binary, prefix array<long>, bits binary"))
     same = sets.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
-    mine = sets.where("n > 0").join(same.select("fp", F.col("rep").alias("id")), ["fp", "id"], "left_semi")
-    sent = mine.select("id", "n", F.explode("prefix").alias("token"))
+    sent = sets.where("n > 0 and id is not null").select("id", "n", F.explode("prefix").alias("token"))
     common = sets.sparkSession.createDataFrame([(int(x),) for x in frequent.view(np.int64)], "token long")
     often = sent.join(F.broadcast(common), "token", "left_semi")
     seldom = sent.join(F.broadcast(common), "token", "left_anti").select("token", "n", "id")
     cold = seldom.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_leaders(percent), "id long, leader long")
     first = often.groupBy("token").agg(F.min("id").alias("leader"))
     hot = often.join(F.broadcast(first), "token").where("id <> leader").select("id", "leader")
-    pairs = written(cold.union(hot).distinct())
+    # A copy never leads: its representative sends the same elements and has the smaller id.
+    pairs = written(cold.union(hot).distinct().join(same.select(F.col("rep").alias("id")), "id", "left_semi"))
 
-    sizes = mine.groupBy("id").agg(F.max("n").alias("n"))
+    sizes = sets.where("n > 0").groupBy("id").agg(F.max("n").alias("n"))
     counted = pairs.join(sizes, "id").groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements"))
     cuts = F.greatest(F.ceil(F.col("members") / (BLOCK - 1)), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("long")
     counted = written(counted.select("leader", cuts.alias("chunks")))
@@ -374,7 +374,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heads = counted.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks")
     named = F.concat_ws("/", "leader", "chunk").alias("block")
     members = cut.union(heads).select(named, "id", F.lit(None).cast("long").alias("label"))
-    links = written(_traverse(members, sets, texts, words, percent))
+    links = written(_traverse(members, sets, texts.hint("merge"), words, percent))
     joined = components(links, "a", "b")
     if counted.where("chunks > 1").limit(1).count():
         links = written(links.union(_between(cut.where("chunks > 1"), joined, sets, texts, words, percent)))
