@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, tokencount, urlfilter, vectors
+from . import chat, decontaminate, jaccard, langid, lm, mixing, pii, tokencount, urlfilter, vectors
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -126,18 +126,79 @@ SELECT m.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.co
 """
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calibrated probability of every document, and whether it is drawn."""
+    found = mixing.probabilities(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+
+
+def _sql_op2(mixture: mixing.Mixture) -> str:
+    patterns = [(n, p.replace("'", "''")) for n, p in mixing.TOPICS]
+    topic = " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{n}'" for n, p in patterns)
+    steps, last = [], "c0"
+    for d in mixing.DIMENSIONS:
+        steps.append(f"t_{d} AS (SELECT {d}, pow(sum(tokens), {mixture.tempers[d]}) / sum(pow(sum(tokens), {mixture.tempers[d]})) OVER () AS target FROM c0 GROUP BY {d})")
+    for k in range(mixture.rounds):
+        for d in mixing.DIMENSIONS:
+            steps.append(f"c{k}_{d} AS MATERIALIZED (SELECT source, lang, topic, tokens, weight * target / sum(weight) OVER (PARTITION BY {d}) AS weight FROM {last} JOIN t_{d} USING ({d}))")
+            last = f"c{k}_{d}"
+    steps.append("s0 AS (SELECT 0.0::DOUBLE AS scale)")
+    for k in range(mixture.calibrations):
+        over = "weight / tokens * scale >= 1"
+        full = f"sum(CASE WHEN {over} THEN tokens ELSE 0 END)"
+        free = f"sum(CASE WHEN {over} THEN 0 ELSE weight END)"
+        steps.append(f"s{k + 1} AS MATERIALIZED (SELECT CASE WHEN {free} = 0 THEN any_value(scale) ELSE greatest(0, {mixture.part} * sum(tokens) - {full}) / {free} END AS scale FROM {last}, s{k})")
+    return rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, CASE {topic} ELSE '{mixing.OTHER}' END AS topic,
+    len(regexp_extract_all(text, '[^ 	-
+]+'))::BIGINT AS n_tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
+), c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0
+), c0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c), {", ".join(steps)
+}, p AS (SELECT source, lang, topic, round(least(1.0, weight / tokens * scale), 6) AS probability FROM {last}, s{mixture.calibrations}
+), r AS (SELECT d.*, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS probability FROM d LEFT JOIN p USING (source, lang, topic))
+SELECT *, ('0x' || substr(md5('{mixture.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < probability AS kept FROM r
+"""
+
+
+SQL_OP2 = _sql_op2(mixing.Mixture())
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base spans, and all spans that the method finds."""
+    found = pii.tag(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
+    return found.select("row.doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as canonical JSON; user turns count as calls that the next turn answers."""
+    return chat.format_chats(_table(spark, sf_dir, "conversations"), implicit="respond")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pseudo-log-likelihood of every text under a network trained on all."""
+    found = lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "log_likelihood", F.col("mean").alias("mean_log_likelihood"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Queries by name."""
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_source_mixing": op2_source_mixing,
         "op3_language_id": op3_language_id,
         "op4_ngram_jaccard": op4_ngram_jaccard,
+        "op5_chat_format": op5_chat_format,
         "op6_token_counts": op6_token_counts,
         "op7_decontamination": op7_decontamination,
+        "op8_personal_data": op8_personal_data,
         "op9_embedding_dedup": op9_embedding_dedup,
+        "op10_lm_score": op10_lm_score,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by name."""
-    return {"op1_url_filter": SQL_OP1, "op4_ngram_jaccard": SQL_OP4, "op7_decontamination": SQL_OP7, "op9_embedding_dedup": SQL_OP9}
+    return {"op1_url_filter": SQL_OP1, "op2_source_mixing": SQL_OP2, "op4_ngram_jaccard": SQL_OP4, "op7_decontamination": SQL_OP7, "op9_embedding_dedup": SQL_OP9}
