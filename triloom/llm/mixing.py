@@ -61,13 +61,13 @@ def uniform(key: Column, seed: str) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**48))
 
 
-def measured(docs: DataFrame, id_col: str, text_col: str, topic_col: str | None) -> DataFrame:
-    """``row`` (a struct of all columns) with key, cell and n_tokens of each document."""
+def measured(docs: DataFrame, id_col: str, text_col: str, topic_col: str | None, keep: list[str]) -> DataFrame:
+    """``row`` (a struct of the ``keep`` columns) with key, cell and n_tokens of each document."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
     topic = named(topic_col) if topic_col else topic_of(text)
     count = F.regexp_count(text, F.lit(WORD)).cast("long")
-    return docs.select(F.struct("*").alias("row"), F.col(id_col).alias("key"), named("source").alias("source"), named("lang").alias("lang"), topic.alias("topic"), count.alias("n_tokens"))
+    return docs.select(F.struct(*keep).alias("row"), F.col(id_col).alias("key"), named("source").alias("source"), named("lang").alias("lang"), topic.alias("topic"), count.alias("n_tokens"))
 
 
 def _targets(cells: DataFrame, mixture: Mixture, dimension: str) -> DataFrame:
@@ -120,25 +120,30 @@ def calibrated(cells: DataFrame, mixture: Mixture) -> DataFrame:
     return cells.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("rate") * F.lit(scale)), 6)).drop("rate")
 
 
-def probabilities(docs: DataFrame, mixture: Mixture | None = None, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """``row`` (a struct of all columns of ``docs``), source, lang, topic, n_tokens, probability and kept.
-
-    Tokens are runs of non-white-space.  The topic is a column, or the first of
-    ``TOPICS`` that matches.  A null source, language or topic is the class
-    ``(none)`` of its own; a null or empty text has no tokens and is never kept.
-    Rows that share an id share their draw.  An empty table gives an empty table.
-    """
-    mixture = mixture or Mixture()
-    rows = measured(docs, id_col, text_col, topic_col)
-    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+def _drawn(rows: DataFrame, narrow: DataFrame, mixture: Mixture) -> DataFrame:
+    """Measured rows with probability and kept; cells are counted over ``narrow``."""
+    cells = written(narrow.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     odds = written(calibrated(raked(cells, mixture), mixture).select(*DIMENSIONS, "probability"))
     if odds.count() <= SMALL:
         odds = F.broadcast(odds)
     chance = F.when(F.col("n_tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(F.lit(0.0))
-    done = rows.join(odds, list(DIMENSIONS), "left").select("row", *DIMENSIONS, "n_tokens", chance.alias("probability"), (uniform(F.col("key"), mixture.seed) < chance).alias("kept"))
-    return done
+    return rows.join(odds, list(DIMENSIONS), "left").select("row", *DIMENSIONS, "n_tokens", chance.alias("probability"), (uniform(F.col("key"), mixture.seed) < chance).alias("kept"))
+
+
+def probabilities(docs: DataFrame, mixture: Mixture | None = None, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``row`` (a struct of the id and the ``keep`` columns), source, lang, topic, n_tokens, probability and kept.
+
+    Tokens are runs of non-white-space.  The topic is a column, or the first of
+    ``TOPICS`` whose pattern matches.  A null source, language or topic is
+    the class ``(none)`` of its own; a null or empty text has no tokens and is
+    never kept.  Rows that share an id share their draw.  An empty table gives an
+    empty table.  Texts are read once.
+    """
+    rows = written(measured(docs, id_col, text_col, topic_col, [id_col, *keep]))
+    return _drawn(rows, rows, mixture or Mixture())
 
 
-def mixed(docs: DataFrame, mixture: Mixture | None = None, **columns: str) -> DataFrame:
+def mixed(docs: DataFrame, mixture: Mixture | None = None, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
     """The rows of ``docs`` that are kept, with the same columns."""
-    return probabilities(docs, mixture, **columns).where("kept").select("row.*")
+    rows = measured(docs, id_col, text_col, topic_col, docs.columns)
+    return _drawn(rows, rows.drop("row"), mixture or Mixture()).where("kept").select("row.*")
