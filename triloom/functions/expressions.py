@@ -117,7 +117,7 @@ class Evaluator:
         value = self.val(args[0])
         loose = self.hints.get("regexMatchNonString", "").lower() == "true"
         text = F.when(value.kind() == LITERAL, value.lex()) if loose else value.text()
-        return boolean(text.rlike(flagged(self.val(args[1]).text(), self.val(args[2]).text() if len(args) > 2 else None)))
+        return boolean(F.regexp(text, flagged(self.val(args[1]).text(), self.val(args[2]).text() if len(args) > 2 else None)))
 
 
 def merged(values: list[Val], pick: Callable[[list[Column]], Column]) -> Val:
