@@ -168,7 +168,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: base spans, and all spans that the method finds."""
     found = pii.tag(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter(base, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
+    of = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind))
+    counts = [of(k).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
     return found.select("row.doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
