@@ -107,7 +107,7 @@ class Engine:
         """The named graphs."""
         if not isinstance(self.graph, QuadGraph):
             return self.spark.createDataFrame([], "g string")
-        return self.graph.quads.where("g is not null").select(F.col("g.lex").alias("g")).distinct()
+        return self.graph.quads.where("g is not null").where(F.col("st").isin(*self.graph.types)).select(F.col("g.lex").alias("g")).distinct()
 
 
 def unscoped(q: Query) -> list[str]:
