@@ -54,8 +54,8 @@ def trade_edges(spark: SparkSession, d: str) -> DataFrame:
 _TRADE = "e AS (SELECT DISTINCT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst FROM lineitem)"
 
 add("quads_scan", lambda s, d: _over_quads(s, d, 'SELECT ?n WHERE { ?x :n_name ?n ; :n_region ?r . ?r :r_name "ASIA" }', "nation", "region"), "SELECT n_name AS n FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
-add("quads_named_graph", lambda s, d: _over_quads(s, d, "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g", "nation", "region"), "SELECT 'urn:triloom:nation' AS g, 5 * count(*) - count(*) AS n FROM nation UNION ALL SELECT 'urn:triloom:region', 3 * count(*) FROM region")
-add("quads_from_merge", lambda s, d: _over_quads(s, d, "SELECT (COUNT(*) AS ?n) FROM id:nation FROM id:region WHERE { ?s ?p ?o }", "nation", "region", "nation"), "SELECT (SELECT 4 * count(*) FROM nation) + (SELECT 3 * count(*) FROM region) + (SELECT count(*) FROM nation) * 0 AS n")
+add("quads_named_graph", lambda s, d: _over_quads(s, d, "SELECT ?g (COUNT(*) AS ?n) WHERE { GRAPH ?g { ?s ?p ?o } } GROUP BY ?g", "nation", "region"), "SELECT 'urn:triloom:nation' AS g, 5 * count(*) AS n FROM nation UNION ALL SELECT 'urn:triloom:region', 3 * count(*) FROM region")
+add("quads_from_merge", lambda s, d: _over_quads(s, d, "SELECT (COUNT(*) AS ?n) FROM id:nation FROM id:region WHERE { ?s ?p ?o }", "nation", "region", "nation"), "SELECT (SELECT 5 * count(*) FROM nation) + (SELECT 3 * count(*) FROM region) AS n")
 add("quads_minus", lambda s, d: _over_quads(s, d, "SELECT ?c WHERE { ?c :c_mktsegment ?s MINUS { ?c :c_mktsegment 'BUILDING' } }", "customer"), "SELECT 'urn:triloom:customer/' || c_custkey AS c FROM customer WHERE c_mktsegment <> 'BUILDING'")
 add("quads_typed_aggregate", lambda s, d: _over_quads(s, d, "SELECT ?s (COUNT(?b) AS ?n) (MAX(?k) AS ?most) WHERE { ?c :c_mktsegment ?s ; :c_acctbal ?b ; :c_custkey ?k FILTER(?b > 0) } GROUP BY ?s", "customer"), "SELECT c_mktsegment AS s, count(*) AS n, max(c_custkey)::VARCHAR AS most FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 add("quads_order", lambda s, d: _over_quads(s, d, "SELECT ?o WHERE { ?x :n_nationkey|:n_name ?o } ORDER BY ?o LIMIT 10", "nation"), "SELECT n_name AS o FROM nation ORDER BY n_name LIMIT 10")
@@ -68,18 +68,13 @@ add("gas_shortest_paths", lambda s, d: gas.sssp(_table(s, d, "nation").select(F.
 add("gas_fuzzy_paths", lambda s, d: gas.fuzzy_sssp(event_edges(s, d), ["click"], ["purchase"], 0))
 
 
-def _search(spark: SparkSession, d: str) -> DataFrame:
-    index = services.text_index(_table(spark, d, "documents"), "doc_id", "text")
-    return services.search(index, "ever that this edge", max_rank=50).select("id", F.round("relevance", 9).alias("relevance"))
-
-
 _STOP = ", ".join(f"'{w}'" for w in services.STOP_WORDS)
 add("search_ranked", lambda s, d: services.search(services.text_index(_table(s, d, "benchmark"), "item_id", "text"), "andthe of thin erst").select(F.col("id").alias("item_id"), F.round("relevance", 9).alias("relevance")), f"""
 WITH t AS (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS token FROM benchmark
 ), c AS (SELECT item_id, token, count(*) AS n FROM t WHERE token NOT IN ({_STOP}) GROUP BY 1, 2
 ), w AS (SELECT item_id, token, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS weight FROM c)
 SELECT item_id, round(sum(weight / sqrt(3)), 9) AS relevance FROM w WHERE token IN ('andthe', 'thin', 'erst') GROUP BY 1""")
-add("search_prefix", lambda s, d: services.search(services.text_index(_table(s, d, "nation"), "n_nationkey", "n_name"), "nation_1*").select("id"))
+add("search_prefix", lambda s, d: services.search(services.text_index(_table(s, d, "nation"), "n_nationkey", "n_name"), "nat* 12").select("id"), "SELECT n_nationkey AS id FROM nation")
 
 
 def _places(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +99,7 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _entailed(spark: SparkSession, d: str, close) -> DataFrame:
-    t = close(_typed(spark, d)).where((F.col("p.lex") == NS + "within") | F.col("o.lex").isin(NS + "Thing", NS + "Area") & F.col("s.lex").startswith(ID))
+    t = close(_typed(spark, d)).where((F.col("p.lex") == NS + "within") | F.col("o.lex").isin(NS + "Thing", NS + "Area") & inference.is_("p", inference.TYPE))
     return t.select(F.col("s.lex").alias("s"), F.col("p.lex").alias("p"), F.col("o.lex").alias("o"))
 
 
