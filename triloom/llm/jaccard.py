@@ -42,6 +42,8 @@ from .text import NON_SPACE, grams, mix, scan, slices
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
 #: Texts that show which elements are frequent, and the most of these that are kept.
 SAMPLE, FREQUENT = 4096, 50_000
+#: Block members, of some 60 bytes each, that may be broadcast.
+FEW = 50_000
 
 
 def text_sets(column: pa.Array, words: int) -> list[np.ndarray]:
@@ -330,11 +332,18 @@ def _block_links(words: int, percent: int):
     return run
 
 
-def _traverse(members: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links found in blocks; ``members``: (block, id, label)."""
+def _traverse(members: DataFrame, sets: DataFrame, texts: DataFrame, words: int, percent: int, few: int | None = None) -> DataFrame:
+    """Links found in blocks; ``members``: (block, id, label).
+
+    Up to ``few`` members that may link are sent to the texts, else both are shuffled.
+    """
     rows = members.join(sets.where("n > 0").select("id", "n", "bits"), "id").select("block", "id", "label", "n", "bits")
     hopes = rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_hopes(percent), "block string, id long, label long")
-    rows = hopes.distinct().join(texts, "id").select("block", "id", "label", "text")
+    hopes = hopes.distinct()
+    if few is not None:
+        hopes = written(hopes)
+        hopes = F.broadcast(hopes) if hopes.count() <= few else hopes
+    rows = texts.join(hopes, "id").select("block", "id", "label", "text")
     return rows.repartition("block").sortWithinPartitions("block", "id").mapInArrow(_block_links(words, percent), "a long, b long")
 
 
@@ -403,4 +412,4 @@ def _between(cut: DataFrame, joined: DataFrame, sets: DataFrame, texts: DataFram
     spread = rows.where("minor").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), half - 1)))
     small = spread.select("leader", F.pmod(F.xxhash64("id"), half).alias("mine"), "part", "id", "label")
     members = lone.union(small).select(F.concat_ws("/", "leader", "mine", "part").alias("block"), "id", "label")
-    return _traverse(members, sets, texts, words, percent)
+    return _traverse(members, sets, texts, words, percent, FEW)
