@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
@@ -82,27 +82,27 @@ def _targets(cells: DataFrame, mixture: Mixture, dimension: str) -> DataFrame:
     return rows.select(dimension, (F.col("target") / F.lit(whole)).alias("target"))
 
 
-def _rake(cells: DataFrame, targets: DataFrame, dimension: str) -> DataFrame:
-    sums = cells.groupBy(dimension).agg(F.sum("weight").alias("sum"))
-    factor = sums.join(targets, dimension).select(dimension, (F.col("target") / F.col("sum")).alias("factor"))
-    return cells.join(factor, dimension).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-
-
 def raked(cells: DataFrame, mixture: Mixture) -> DataFrame:
     """(source, lang, topic, tokens) with weight: shares whose marginals are the targets.
 
     After the last round the topic marginal is exact and the others as near as
-    the rounds brought them; cells without tokens have no weight.
+    the rounds brought them; cells without tokens have no weight.  A step sums the
+    weights of each value of a dimension in a window over cells: one row for each
+    combination, however many documents are in it.
     """
     cells = cells.where("tokens > 0")
     whole = cells.agg(F.sum("tokens")).first()[0] or 1
-    cells = cells.withColumn("weight", F.col("tokens") / F.lit(whole))
-    targets = {d: _targets(cells, mixture, d) for d in DIMENSIONS}
-    for _ in range(mixture.rounds):
+    now = cells.withColumn("weight", F.col("tokens") / F.lit(whole))
+    for d in DIMENSIONS:
+        now = now.join(_targets(cells, mixture, d).withColumnRenamed("target", f"{d}_target"), d)
+    now = written(now)
+    for k in range(mixture.rounds):
         for d in DIMENSIONS:
-            cells = _rake(cells, targets[d], d)
-        cells = written(cells)
-    return cells
+            own = F.sum("weight").over(Window.partitionBy(d))
+            now = now.withColumn("weight", F.col("weight") * F.col(f"{d}_target") / own)
+        if k % 4 == 3:
+            now = written(now)
+    return now.select(*DIMENSIONS, "tokens", "weight")
 
 
 def calibrated(cells: DataFrame, mixture: Mixture) -> DataFrame:
