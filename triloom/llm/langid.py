@@ -297,7 +297,7 @@ class Scorer:
         """Log-likelihoods (text by language), and how many words each text has."""
         chars, start, end, text = _words(texts)
         total = np.zeros((len(texts), len(self.model.languages)))
-        if len(start):
+        if len(start) and total.shape[1]:
             scores, back = self.words(chars, start, end)
             for k in range(total.shape[1]):
                 total[:, k] = np.bincount(text, scores[back, k], len(texts))
