@@ -437,13 +437,13 @@ def test_network_learns_and_scores_whole_texts(spark):
     odd = [None, "", "  ", "unseen", "w1 " * 30_000]
     learn = table(spark, list(enumerate(texts)))
     docs = table(spark, list(enumerate([*texts[:50], *shuffled, *odd])))
-    got = {r.row.doc_id: r for r in lm.score(docs, learn=learn).collect()}
+    got = {r.row.doc_id: r for r in lm.score(docs, learn=learn, stride=1, step=64).collect()}
     mean = lambda ids: sum(got[i]["mean"] for i in ids) / len(ids)
     assert mean(range(50)) > mean(range(50, 100)) + 0.5
     assert [(got[i].n_words, got[i].log_likelihood, got[i]["mean"]) for i in (100, 101, 102)] == [(0, 0.0, None)] * 3
     assert got[103].n_words == 1 and got[104].n_words == 30_000
     assert lm.score(docs.limit(0)).count() == 0
-    assert {r.row.doc_id: r.log_likelihood for r in lm.score(docs, learn=learn).collect()} == {i: r.log_likelihood for i, r in got.items()}
+    assert {r.row.doc_id: r.log_likelihood for r in lm.score(docs, learn=learn, stride=1, step=64).collect()} == {i: r.log_likelihood for i, r in got.items()}
 
 
 def test_scores_are_conditional_probabilities():

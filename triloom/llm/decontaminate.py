@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .store import small_batches
 from .text import ALNUM, Words, grams, scan, slices
 
 #: Item bytes that one broadcast holds; a single longer item stands alone.
@@ -247,7 +248,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // SHARD_BYTES))
     shard_of = F.pmod(F.xxhash64("id", "text"), F.lit(count))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.expr("cast(array() as array<int>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     kind = T.StructType([rows.schema["row"], rows.schema["text"], rows.schema["spans"], rows.schema["items"]])
     done = T.StructType([rows.schema["row"], rows.schema["spans"], rows.schema["items"], *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items_sha256", T.StringType()), ("cut", T.StringType())))])
     for k in range(count):

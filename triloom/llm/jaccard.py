@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import written
+from .store import small_batches, some_rows, written
 from .text import NON_SPACE, grams, mix, scan, slices
 
 #: Most members and set elements of a block that one tree holds.
@@ -134,10 +134,7 @@ def _tokens(words: int):
 
 def frequent_elements(texts: DataFrame, words: int, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
     """Elements met in over 0.4 % of about ``sample`` texts, ``most`` at the most."""
-    rows = texts.count()
-    parts = 1 << 20
-    share = min(parts, -(-sample * parts // max(rows, 1)))
-    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(parts)) < share).select("text")
+    some = some_rows(texts, sample, F.col("id")).select("text")
     least = max(8, sample // 256)
     found = (
         some.mapInArrow(_tokens(words), "token long")
@@ -360,7 +357,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     them.  Rows with a null id keep a null component.  An empty table gives an
     empty table; columns other than the two named are not read.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     frequent = frequent_elements(texts, words)
     sets = written(texts.mapInArrow(_describe(words, percent, frequent), "id long, n long, fp binary, prefix array<long>, bits binary"))
     same = sets.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import _power_tables, mix, slices
 
 MARK = 0x2581
@@ -242,7 +243,7 @@ def fit(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Rows with a null text or language are left out.  What comes to the driver is
     one number for each language and piece of the fixed vocabulary.
     """
-    named = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
+    named = small_batches(docs).where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"))
     found = {r[0]: r[1] for r in named.groupBy("lang").count().collect()}
     languages = sorted(found)
     if not languages:
@@ -332,7 +333,7 @@ def predict(docs: DataFrame, model: Model, vocabulary: str, text_col: str = "tex
     does every text under a model without languages.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_predict(vocabulary, held), f"row {kind}, lang_pred string, score double")
 

@@ -23,23 +23,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import NON_SPACE, scan, slices
 
 #: Words of the vocabulary, buckets of other words, classes, width, words seen on either side.
 WORDS, BUCKETS, CLASSES, WIDTH, REACH = 8192, 64, 128, 24, 2
+#: Words that are less than one in so many are not in the vocabulary.
+RARE = 1_000_000
 #: Every so many positions one is trained on; positions of a step; blocks of parameters.
-STRIDE, STEP, BLOCKS = 8, 2048, 256
+STRIDE, STEP, BLOCKS = 8, 512, 256
 _PLACES = [d for d in range(-REACH, REACH + 1) if d]
 
 
 @dataclass
 class Vocabulary:
-    """Words by hash, the class of each token, and log-probabilities within classes."""
+    """Words by hash, the class of each token, log-probabilities within classes, and shares of classes."""
 
     hashes: np.ndarray
     number: np.ndarray
     of: np.ndarray
     within: np.ndarray
+    shares: np.ndarray
 
     @classmethod
     def of_counts(cls, hashes: np.ndarray, counts: np.ndarray, other: int) -> Vocabulary:
@@ -58,7 +62,7 @@ class Vocabulary:
             left -= mass
         whole = np.bincount(of, weight, CLASSES)
         by_hash = np.argsort(hashes)
-        return cls(hashes[by_hash], by_hash.astype(np.int32), of, np.log(weight / whole[of]).astype(np.float32))
+        return cls(hashes[by_hash], by_hash.astype(np.int32), of, np.log(weight / whole[of]).astype(np.float32), whole / whole.sum())
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         """Token numbers of word hashes; words that aren't known go to buckets."""
@@ -73,12 +77,13 @@ class Vocabulary:
 class Network:
     """Embeddings (the last row is the edge of a text), scales of places, and the output layer."""
 
-    def __init__(self, tokens: int, seed: int = 11):
+    def __init__(self, tokens: int, seed: int = 11, shares: np.ndarray | None = None):
+        """``shares`` of the classes in the corpus are the first bias."""
         r = np.random.default_rng(seed)
         self.embed = (r.standard_normal((tokens + 1, WIDTH)) * 0.1).astype(np.float32)
         self.scale = (1 + r.standard_normal((len(_PLACES), WIDTH)) * 0.3).astype(np.float32)
         self.out = (r.standard_normal((WIDTH, CLASSES)) * 0.1).astype(np.float32)
-        self.bias = np.zeros(CLASSES, np.float32)
+        self.bias = np.zeros(CLASSES, np.float32) if shares is None else np.log(shares + 1e-9).astype(np.float32)
         self.speed = [np.full(p.shape, 0.1, np.float32) for p in self.parameters()]
 
     def parameters(self) -> list[np.ndarray]:
@@ -151,22 +156,22 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], names=["word", "n"])
 
 
-def _train(held):
+def _train(held, stride: int, size: int):
     """Texts: the parameters of a network trained on them, as blocks weighted by positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = held.value
         edge = len(vocabulary.of)
-        network, positions, seen = Network(edge), 0, 0
+        network, positions, seen = Network(edge, shares=vocabulary.shares), 0, 0
         for batch in batches:
             for low, high in slices(batch.column(0)):
                 found = scan(batch.column(0).slice(low, high - low), NON_SPACE)
                 tokens = vocabulary.tokens(found.hash)
-                at = np.arange(seen * 5 % STRIDE, len(tokens), STRIDE)
+                at = np.arange(seen * 5 % stride, len(tokens), stride)
                 at = at[np.random.default_rng(seen).permutation(len(at))]
                 seen += 1
-                for k in range(0, len(at), STEP):
-                    part = at[k : k + STEP]
+                for k in range(0, len(at), size):
+                    part = at[k : k + size]
                     network.step(_around(tokens, found.row, part, edge), vocabulary.of[tokens[part]])
                     positions += len(part)
         if positions:
@@ -188,18 +193,17 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([total[k][0] for k in names], pa.int64()), pa.array([total[k][1].astype(np.float32).tobytes() for k in names], pa.binary())], names=["block", "n", "sum"])
 
 
-def fit(texts: DataFrame) -> tuple[Vocabulary, np.ndarray | None]:
+def fit(texts: DataFrame, stride: int = STRIDE, step: int = STEP) -> tuple[Vocabulary, np.ndarray | None]:
     """Vocabulary and parameters from the column ``text`` of all rows."""
     spark = texts.sparkSession
-    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(WORDS)
-    found = top.collect()
     whole = texts.select(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")))).first()[0] or 0
+    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * RARE >= whole).orderBy(F.desc("n"), "word").limit(WORDS).collect()
     hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
     n = np.array([r[1] for r in found], np.int64)
     vocabulary = Vocabulary.of_counts(hashes, n, int(whole - n.sum()))
     held = spark.sparkContext.broadcast(vocabulary)
-    blocks = texts.mapInArrow(_train(held), "block int, n long, sum binary").repartition("block").mapInArrow(_average, "block int, n long, sum binary").orderBy("block").collect()
+    blocks = texts.mapInArrow(_train(held, stride, step), "block int, n long, sum binary").repartition("block").mapInArrow(_average, "block int, n long, sum binary").orderBy("block").collect()
     if not blocks:
         return vocabulary, None
     return vocabulary, np.concatenate([np.frombuffer(bytes(b[2]), np.float32).astype(np.float64) / b[1] for b in blocks]).astype(np.float32)
@@ -209,7 +213,9 @@ def _score(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, flat = held.value
         edge = len(vocabulary.of)
-        network = Network(edge).load(flat) if flat is not None else Network(edge)
+        network = Network(edge, shares=vocabulary.shares)
+        if flat is not None:
+            network.load(flat)
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 part = batch.slice(low, high - low)
@@ -228,7 +234,7 @@ def _score(held):
     return run
 
 
-def score(docs: DataFrame, text_col: str = "text", learn: DataFrame | None = None) -> DataFrame:
+def score(docs: DataFrame, text_col: str = "text", learn: DataFrame | None = None, stride: int = STRIDE, step: int = STEP) -> DataFrame:
     """``row`` (a struct of all columns), n_words, log_likelihood (0 without words) and mean (null without words).
 
     The network is trained on the texts of ``learn``, by default of ``docs``.
@@ -237,8 +243,8 @@ def score(docs: DataFrame, text_col: str = "text", learn: DataFrame | None = Non
     result depends on how the texts are dealt to tasks, as each task trains a
     network; it is the same again for the same files and settings.
     """
-    texts = (docs if learn is None else learn).select(F.col(text_col).cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(fit(texts))
+    texts = (small_batches(docs) if learn is None else learn).select(F.col(text_col).cast("string").alias("text"))
+    held = docs.sparkSession.sparkContext.broadcast(fit(texts, stride, step))
     rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     return rows.mapInArrow(_score(held), f"row {kind}, n_words long, log_likelihood double, mean double")

@@ -1,43 +1,32 @@
-"""Written tables that cut lineage and survive lost executors.
-
-Tables go below ``spark.checkpoint.dir``, the folder that all executors share.
-Where that setting is absent a folder of our own is used, but only with a
-local master: on a cluster a machine-local folder would not be seen by others.
-"""
+"""Written tables, and bounded samples."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..store import shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for written tables."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    master = conf.get("spark.master", "")
-    if not master.startswith("local[") and master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="triloom-")
-    spark.sparkContext.setCheckpointDir(own)
-    atexit.register(_remove_local, own)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
+__all__ = ["shared_dir", "small_batches", "some_rows", "written"]
+#: Texts that travel to Python at once; near copies compress so well that a small partition can hold very many.
+BATCH_ROWS = 256
+_STEPS = 1 << 40
 
 
-def _remove_local(path: str) -> None:
-    import shutil
+def some_rows(df: DataFrame, n: int, key: F.Column) -> DataFrame:
+    """About ``n`` rows (all, if there are fewer), chosen by the hash of a key.
 
-    shutil.rmtree(path, ignore_errors=True)
+    A filter on the executors: what is sent on doesn't grow with the number of
+    partitions, as a top list of each would.
+    """
+    rows = df.count()
+    share = min(_STEPS, -(-n * _STEPS // max(rows, 1)))
+    return df.where(F.pmod(F.xxhash64(key), F.lit(_STEPS)) < share)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/triloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of texts bounded in rows for the session from now on."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df

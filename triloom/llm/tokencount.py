@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import small_batches
 from .text import _power_tables, mix, slices
 
 SPACE = 0x2581
@@ -296,7 +297,7 @@ def token_counts(docs: DataFrame, model: str, text_col: str = "text", keep: tupl
     strings of special tokens are ordinary text.  Null reads as empty, and an
     empty text has no tokens.  Texts of any length are counted whole.
     """
-    rows = docs.select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     done = rows.mapInArrow(_count(model), f"row {kind}, n_bytes long, n_tokens long")
     return done.select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

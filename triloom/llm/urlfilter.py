@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .store import some_rows
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sampled urls for each range.
 SAMPLED = 40
@@ -174,8 +176,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     salt = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     keyed = urls.select("row", host_key(F.col("row.host")).alias("key"), F.col("row.path").alias("path"), F.xxhash64(salt, "row").bitwiseAND(F.lit((1 << 31) - 1)).alias("spread"))
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = F.xxhash64("key", "path", "spread")
-    sample = sorted((r[0], r[1]) for r in keyed.select("key", "path", order.alias("o")).orderBy("o").limit(SAMPLED * ranges).collect())
+    sample = sorted((r[0], r[1]) for r in some_rows(keyed.select("key", "path", "spread"), SAMPLED * ranges, F.struct("key", "path", "spread")).collect())
     limits = [sample[k * len(sample) // ranges] for k in range(1, ranges)] if sample else []
 
     rule_host, rule_path = F.substring_index("rule", "/", 1), F.col("rule")
