@@ -326,6 +326,16 @@ def test_prepared_and_rest_calls(store):
     assert "Warning" in e.explain(PREFIX + "SELECT * WHERE { ?x :name ?n { ?y :age ?a FILTER(?n = 'Eve') } }")
 
 
+def test_join_order_follows_counts(spark, store):
+    from triloom.plans.parser import parse_query as parse
+
+    store.analyze()
+    assert store.counts["urn:x#knows"] == 5
+    q = parse(PREFIX + "SELECT * WHERE { ?x :knows ?y . ?y a :Robot . ?y :age ?a }")
+    assert store.graph().estimate(q.where.parts[1]) < store.graph().estimate(q.where.parts[0])
+    assert rows(store, "SELECT ?x WHERE { ?x :knows ?y . ?y a :Robot . ?y :age ?a }") == [("urn:x#anna",), ("urn:x#ben",)]
+
+
 def test_custom_functions(spark, store):
     from pyspark.sql import functions as F
 

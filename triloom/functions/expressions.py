@@ -100,7 +100,8 @@ class Evaluator:
         return boolean(self.val(args[0]).col.isNotNull())
 
     def coalesce(self, args: list) -> Val:
-        return merged([self.val(a) for a in args], lambda cols: F.coalesce(*cols))
+        known = [a for a in args if not (isinstance(a, Var) and a.name not in self.variables)]
+        return merged([self.val(a) for a in known or args], lambda cols: F.coalesce(*cols))
 
     def choose(self, args: list) -> Val:
         test = self.ebv(args[0])
