@@ -14,6 +14,7 @@ scan, so a benchmark of any size is matched in full without a shuffle.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -163,15 +164,16 @@ class SuffixAutomaton:
         return cls([(name, scan(pa.array([text]), ALNUM).hash) for name, text in items], window)
 
 
-_built: dict[tuple[int, int], SuffixAutomaton] = {}
+_built: dict[tuple[str, int], SuffixAutomaton] = {}
 
 
 def _automaton(shard: Broadcast, window: int) -> SuffixAutomaton:
-    key = (id(shard.value), window)
-    if key not in _built:
+    """The automaton of a shard (its name and items), made once in a worker."""
+    name, items = shard.value
+    if (name, window) not in _built:
         _built.clear()
-        _built[key] = SuffixAutomaton.of(shard.value, window)
-    return _built[key]
+        _built[name, window] = SuffixAutomaton.of(items, window)
+    return _built[name, window]
 
 
 def _merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -253,7 +255,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, text_col:
     done = T.StructType([rows.schema["row"], rows.schema["spans"], rows.schema["items"], *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("items_sha256", T.StringType()), ("cut", T.StringType())))])
     for k in range(count):
         held = wanted.where(shard_of == k).orderBy("id", "text").collect()
-        shard = spark.sparkContext.broadcast([(r[0], r[1]) for r in held])
+        shard = spark.sparkContext.broadcast((uuid.uuid4().hex, [(r[0], r[1]) for r in held]))
         last = k == count - 1
         rows = rows.mapInArrow(_stage(shard, window, last, cut_from), done if last else kind)
     return rows
