@@ -347,6 +347,49 @@ def test_custom_functions(spark, store):
     assert rows(store, "SELECT ?n WHERE { SERVICE <urn:q#robots> {} ?x :name ?n }") == [("Carl",)]
 
 
+def test_statement_operators(spark):
+    from triloom.operators import statements as st
+    from triloom.terms import iri, literal
+
+    s = QuadStore(spark)
+    s.update(PREFIX + "INSERT DATA { :a :p 1 . GRAPH g:1 { :a :p 1 . :b :q 2 } . :a :q 3 }")
+    other = quad_rows(spark, [(iri("urn:x#a"), iri("urn:x#p"), literal(1)), (iri("urn:x#z"), iri("urn:x#p"), literal(9))])
+    assert st.distinct_statements(s.quads).count() == 3 and st.in_graphs(s.quads, [iri("urn:g#1")]).count() == 2
+    assert st.fused_view(other, s.quads).count() == 4
+    assert st.present(other, s.quads).count() == 1 and st.present(other, s.quads, False).count() == 1
+    assert sorted(str(r.st) for r in st.complete(other, s.quads).collect()) == ["0", "None"]
+    assert [r.s.lex for r in st.star(s.quads, ["urn:x#p", "urn:x#q"]).collect()] == ["urn:x#a"]
+    assert st.explicit_only(s.quads).count() == 4 and st.inferred_only(s.quads).count() == 0
+    assert st.sample(s.quads, 2).count() == 2 and st.as_of(s.changes, 1e12).count() == 4
+    told = quad_rows(spark, list(rdf.turtle(TREE))).select("s", "p", "o")
+    proofs = st.supported(inference.full_closure(told, owl=False), told, [("rdfs9", inference.rdfs9), ("rdfs11", inference.rdfs11)])
+    assert proofs.where("s.lex = 'urn:x#rex' and o.lex = 'urn:x#Animal'").first().rules == ["rdfs9"]
+
+
+def test_slice_describe_and_completion(spark, store):
+    from pyspark.sql import functions as F
+
+    from triloom.terms import iri
+
+    assert rows(store, "SELECT ?n WHERE { SERVICE <urn:t#slice> { ?x :name ?n . hint:S <urn:t#offset> 1 ; <urn:t#limit> 2 } }") in ([("Ben",), ("Carl",)], [("Anna",), ("Carl",)], [("Ben",), ("Anna",)], [("Carl",), ("Dora",)], [("Anna",), ("Ben",)])
+    assert store.describe(iri("urn:x#eve")).count() == 1 and store.describe(iri("urn:x#eve")) is store.describe(iri("urn:x#eve"))
+    one = spark.range(1).select(F.array_sort(services.completions(F.lit("Red re"))).alias("c")).first().c
+    assert one == ["r", "re", "red"]
+
+
+def test_construct_as_json(spark, store):
+    text = rdf.wrapped("srj", [r.value for r in rdf.construct_json_lines(store.quads).collect()])
+    assert {(s.lex, p.lex, o.lex) for s, p, o, _ in rdf.construct_json(text)} == {(r.s.lex, r.p.lex, r.o.lex) for r in store.quads.collect()}
+
+
+def test_json_ld_objects(store):
+    import json
+
+    made = [json.loads(r.value) for r in rdf.json_ld_lines(store.quads).collect()]
+    ben = [x for x in made if x["@id"] == "urn:x#ben" and "urn:x#name" in x]
+    assert ben[0]["urn:x#name"] == [{"@value": "Ben", "@language": "en"}]
+
+
 @pytest.mark.parametrize("text", ["SELECT ?x WHERE { ?x ?y }", "SELECT WHERE {}", "ASK { ?x :unknown ?y }", "SELECT ?x { VALUES (?x ?y) { (1) } }"])
 def test_faults(text):
     with pytest.raises(SyntaxFault):

@@ -33,12 +33,23 @@ def _text(x: object, default: str | None = None) -> str | None:
 # --- full text
 
 
-def tokens(text: Column, stop: bool = True, pattern: str = r"[\p{L}\p{N}]+") -> Column:
-    """Lower-case tokens of a text, without stop words if wanted."""
+#: Analyzers by language tag: from a text to its tokens.
+ANALYZERS: dict[str, Callable[[Column], Column]] = {}
+
+
+def tokens(text: Column, stop: bool = True, pattern: str = r"[\p{L}\p{N}]+", language: str | None = None) -> Column:
+    """Lower-case tokens of a text, without stop words if wanted; a language's own analyzer goes first."""
+    if language in ANALYZERS:
+        return ANALYZERS[language](text)
     found = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(STOP_WORDS)) if stop else found
 
 
+def completions(text: Column, least: int = 1) -> Column:
+    """The beginnings of a text's tokens, for completing what is typed."""
+    return F.array_distinct(F.flatten(F.transform(tokens(text, False), lambda w: F.transform(F.sequence(F.lit(least), F.greatest(F.length(w), F.lit(least))), lambda n: F.substring(w, F.lit(1), n)))))
+
+
 def text_index(texts: DataFrame, id_col: str, text_col: str, stop: bool = True) -> DataFrame:
     """(id, token, weight): a token's weight is its count over the root of the sum of squared counts in the text."""
     counts = texts.select(F.col(id_col).alias("id"), F.explode(tokens(F.col(text_col), stop)).alias("token")).groupBy("id", "token").agg(F.count(F.lit(1)).alias("n"))
@@ -258,6 +269,22 @@ def _walk_service(compiler, group: Group, scope, found) -> Solutions:
     return Solutions.of(rows, values)
 
 
+def _slice_service(compiler, group: Group, scope, found) -> Solutions:
+    """A range of a pattern's solutions in the order of its variables: ``offset`` and ``limit``."""
+    names = ("offset", "limit")
+    local = lambda t: t.p.lex.rsplit("#", 1)[-1] if isinstance(t, Triple) and isinstance(t.p, Term) else ""
+    p = _parameters(Group([t for t in group.parts if local(t) in names]))
+    rows = compiler.group(Group([t for t in group.parts if local(t) not in names]), scope)
+    ordered = rows.df.orderBy(*(k.asc_nulls_first() for n in sorted(rows.variables) for k in rows.val(n).order_keys()))
+    ordered = ordered.offset(int(_text(p.get("offset"), "0")))
+    return Solutions(ordered.limit(int(_text(p["limit"]))) if "limit" in p else ordered, rows.variables, rows.maybe)
+
+
+def _null_service(compiler, group: Group, scope, found) -> Solutions:
+    """One solution that binds nothing."""
+    return constants(compiler.spark, [], [[]])
+
+
 def stored_query(name: str, text: str) -> None:
     """Makes a query callable as SERVICE; the group's VALUES or other patterns join its solutions."""
 
@@ -283,7 +310,7 @@ def native_service(name: str, build: Callable[[Group], DataFrame]) -> None:
     register_service(name, wrapped)
 
 
-for _name, _build in (("/search", _search_service), ("#search", _search_service), ("/geospatial", _geo_service), ("#geospatial", _geo_service), ("#sample", _sample_service), ("#values", _values_service), ("#alp", _path_service), ("#gas", _walk_service), ("/gas", _walk_service), ("#service", _walk_service)):
+for _name, _build in (("/search", _search_service), ("#search", _search_service), ("/geospatial", _geo_service), ("#geospatial", _geo_service), ("#sample", _sample_service), ("#values", _values_service), ("#slice", _slice_service), ("#null", _null_service), ("#alp", _path_service), ("#gas", _walk_service), ("/gas", _walk_service), ("#service", _walk_service)):
     register_service(_name, _build)
 
 __all__ = ["SERVICES", "distance", "find_service", "in_circle", "in_rectangle", "native_service", "search", "stored_query", "text_index", "tokens", "z_order"]

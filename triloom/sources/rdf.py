@@ -345,7 +345,13 @@ def json_ld_lines(quads: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit('{"@id":'), F.get(F.split(F.to_json(F.array("s")), r"^\["), F.lit(1)).substr(F.lit(1), F.length(F.to_json(F.array("s"))) - 2), F.lit(","), F.substring(inner, F.lit(2), F.length(inner))).alias("value"))
 
 
-WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {"nt": statement_lines, "nq": statement_lines, "ttl": turtle_lines, "n3": turtle_lines, "trig": trig_lines, "rdf": rdf_xml_lines, "trix": trix_lines, "rj": json_lines, "jsonld": json_ld_lines}
+def construct_json_lines(quads: DataFrame) -> DataFrame:
+    """Statements as bindings of the JSON result format (subject, predicate, object, context)."""
+    names = [("s", "subject"), ("p", "predicate"), ("o", "object"), *([("g", "context")] if "g" in quads.columns else [])]
+    return result_json(quads.select(*(F.col(c).alias(n) for c, n in names)))
+
+
+WRITERS: dict[str, Callable[[DataFrame], DataFrame]] = {"nt": statement_lines, "nq": statement_lines, "ttl": turtle_lines, "n3": turtle_lines, "trig": trig_lines, "rdf": rdf_xml_lines, "trix": trix_lines, "rj": json_lines, "jsonld": json_ld_lines, "srj": construct_json_lines}
 
 
 def write_rdf(quads: DataFrame, path: str, kind: str) -> None:
@@ -360,6 +366,8 @@ def wrapped(kind: str, lines: list[str]) -> str:
         return f'<?xml version="1.0"?>\n<rdf:RDF xmlns:rdf="{RDF}">\n{body}\n</rdf:RDF>'
     if kind == "trix":
         return f'<?xml version="1.0"?>\n<TriX xmlns="http://www.w3.org/2004/03/trix/trix-1/">\n{body}\n</TriX>'
+    if kind == "srj":
+        return '{"head":{"vars":["subject","predicate","object","context"]},"results":{"bindings":[' + ",".join(lines) + "]}}"
     if kind == "rj":
         return "{" + ",".join(x[1:-1] for x in lines) + "}"
     return "[" + ",\n".join(lines) + "]" if kind == "jsonld" else body

@@ -49,6 +49,7 @@ class QuadStore:
         self.prefixes = prefixes or {}
         self.version = 0
         self.counts: dict[str, int] = {}
+        self._described: tuple[int, dict[Term, DataFrame]] = (0, {})
 
     # --- reading
 
@@ -61,6 +62,15 @@ class QuadStore:
     def query(self, text: str, form: str = "n3") -> DataFrame | bool:
         return self.engine().query(text, form)
 
+    def describe(self, resource: Term) -> DataFrame:
+        """A resource's description, kept until the next change."""
+        if self._described[0] != self.version:
+            self._described = (self.version, {})
+        kept = self._described[1]
+        if resource not in kept:
+            kept[resource] = written(self.query(f"DESCRIBE {resource.n3()}"))
+        return kept[resource]
+
     def analyze(self, most: int = 10_000) -> dict[str, int]:
         """Counts the statements of the most frequent predicates; queries order their joins by them from now on."""
         counts = self.quads.groupBy(F.col("p.lex").alias("p")).count().orderBy(F.desc("count"), "p").limit(most)
