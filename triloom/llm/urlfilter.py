@@ -26,7 +26,7 @@ from .store import some_rows
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Sampled urls for each range.
-SAMPLED = 40
+SAMPLED = 10
 _LAST = "\U0010ffff"
 
 
