@@ -251,6 +251,15 @@ def test_search_scores(spark):
     assert [r.id for r in services.search(index, "do*").collect()] == [2]
 
 
+def test_numbers_follow_the_order(spark):
+    from triloom.operators.ordering import numbered
+
+    df = spark.range(1000).selectExpr("id * 7919 % 1000 AS k")
+    got = {r.k: r.n for r in numbered(df.repartition(7), "n", "k").collect()}
+    assert got == {k: k + 1 for k in range(1000)}
+    assert numbered(df.limit(0), "n", "k").count() == 0
+
+
 def test_search_and_geo_services(spark):
     data = '@prefix : <urn:x#> . :a :text "big red bus" ; :at "48.0#11.0" . :b :text "small bus" ; :at "48.1#11.0" . :c :at "52.0#13.0" .'
     s = QuadStore(spark, quad_rows(spark, list(rdf.turtle(data))))

@@ -16,6 +16,7 @@ from ..plans.compiler import SERVICES, find_service, register_service
 from ..plans.parser import parse_query
 from ..sources.graphs import Solutions, constants
 from ..terms import Term, Val
+from .ordering import numbered
 
 #: Stop words that no analyzer keeps.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
@@ -87,7 +88,9 @@ def search(index: DataFrame, query: str, all_terms: bool = False, prefix: bool =
     if max_rank is not None:
         # A bounded top list; ranks over it need no shuffle of all hits.
         hits = hits.orderBy(F.desc("relevance"), "id").limit(max_rank)
-    ranked = hits.select("id", "relevance", F.row_number().over(Window.orderBy(F.desc("relevance"), "id")).alias("rank"))
+        ranked = hits.select("id", "relevance", F.row_number().over(Window.orderBy(F.desc("relevance"), "id")).cast("long").alias("rank"))
+    else:
+        ranked = numbered(hits.select("id", "relevance"), "rank", F.desc("relevance"), F.asc("id"))
     return ranked.where(F.col("rank") >= min_rank)
 
 
