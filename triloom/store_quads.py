@@ -21,6 +21,8 @@ from .terms import TERM_DDL, Term, constant
 TRIPLES, PROVENANCE, QUADS = "triples", "provenance", "quads"
 CHANGES_DDL = f"ts double, action string, s {TERM_DDL}, p {TERM_DDL}, o {TERM_DDL}, g {TERM_DDL}"
 _KEY = ["s", "p", "o", "g"]
+#: Written parts of a version before they are written as one.
+PARTS = 16
 
 
 def quad_rows(spark: SparkSession, quads: list[tuple[Term, Term, Term, Term | None]]) -> DataFrame:
@@ -47,7 +49,7 @@ class QuadStore:
         self.close, self.entailing = entailments or inference.full_closure, False
         self.listeners: list[Callable[[DataFrame], None]] = []
         self.prefixes = prefixes or {}
-        self.version = 0
+        self.version, self.parts = 0, 1
         self.counts: dict[str, int] = {}
         self._described: tuple[int, dict[Term, DataFrame]] = (0, {})
 
@@ -106,18 +108,21 @@ class QuadStore:
                 kept = kept.union(hit.select(*_KEY, F.lit(HISTORY).cast("tinyint").alias("st")))
             now = kept
         if added is not None:
-            fresh = self._keyed(added.select(*_KEY)).dropDuplicates(["k"])
-            have = self._keyed(now.where(F.col("st") == EXPLICIT)).select("k")
+            fresh = written(self._keyed(added.select(*_KEY)).dropDuplicates(["k"]))
+            # The store is scanned past the (usually small) addition, not shuffled for it.
+            have = self._keyed(now.where(F.col("st") == EXPLICIT)).join(fresh.select("k"), "k", "left_semi").select("k").distinct()
             fresh = written(fresh.join(have, "k", "left_anti").drop("k"))
             log.append(fresh.select(F.lit("added").alias("action"), *_KEY))
             now = now.union(fresh.select(*_KEY, F.lit(EXPLICIT).cast("tinyint").alias("st")))
-        self._swap(now, log)
+        self._swap(now, log, removed is not None)
 
-    def _swap(self, now: DataFrame, log: list[DataFrame]) -> None:
+    def _swap(self, now: DataFrame, log: list[DataFrame], rewrite: bool = True) -> None:
+        """Makes a new version: what was only added becomes a part of its own, else (or with many parts) all is written anew."""
         if self.entailing:
             told = now.where(F.col("st").isin(EXPLICIT, HISTORY))
             now = inference.closed_quads(told.where(F.col("st") == EXPLICIT), self.close).union(told.where(F.col("st") == HISTORY))
-        self.quads = written(now)
+        self.parts = 1 if rewrite or self.entailing or self.parts >= PARTS else self.parts + 1
+        self.quads = written(now) if self.parts == 1 else now
         self.version += 1
         stamp = F.lit(time.time()).alias("ts")
         for part in log:
