@@ -28,7 +28,7 @@ from .store import small_batches
 from .text import ALNUM, Words, grams, scan, slices
 
 #: Item bytes that one broadcast holds; a single longer item stands alone.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 
 
 class SuffixAutomaton:
