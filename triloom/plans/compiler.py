@@ -85,7 +85,7 @@ class Compiler:
                 scope.named[name] = self.select(sub, scope)
             found = self.group(q.where, scope)
             if q.values:
-                found = joins.inner(found, self.values(q.values))
+                found = self.with_values(found, q.values)
             return self.modified(q, found, scope)
         finally:
             self.graph = graph
@@ -253,7 +253,7 @@ class Compiler:
             if part.query.hints.get("runOnce", "").lower() == "true":
                 inner = Solutions(inner.df.cache(), inner.variables, inner.maybe)
         elif isinstance(part, Values):
-            inner = self.values(part)
+            return self.with_values(found, part)
         elif isinstance(part, Include):
             inner = self.included(part.name, scope)
         else:
@@ -272,6 +272,19 @@ class Compiler:
     def values(self, v: Values) -> Solutions:
         return constants(self.spark, [n.name for n in v.names], v.rows)
 
+    def with_values(self, found: Solutions | None, v: Values) -> Solutions:
+        """Inline rows joined: those with the same variables bound together, so that each join is one of equality."""
+        if found is None or not any(None in row for row in v.rows):
+            return self.values(v) if found is None else joins.inner(found, self.values(v))
+        by: dict[tuple[bool, ...], list] = {}
+        for row in v.rows:
+            by.setdefault(tuple(t is not None for t in row), []).append(row)
+        parts = []
+        for bound, rows in by.items():
+            names = [n for n, b in zip(v.names, bound, strict=True) if b]
+            parts.append(joins.inner(found, self.values(Values(names, [[t for t in row if t is not None] for row in rows]))))
+        return reduce(joins.union, parts)
+
     def triples(self, run: list[Triple], scope: Scope, found: Solutions | None, fixed: bool) -> Solutions:
         """A run of triples joined in a good order (or, if fixed, as written)."""
         stars: list[list[Triple]] = []
