@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .operators import inference
 from .operators import services as _services  # noqa: F401  they register themselves
-from .plans.algebra import Group, Quad, Query, Triple, Update, Var
+from .plans.algebra import Quad, Query, Update
 from .plans.compiler import instantiate
 from .plans.parser import parse_update
 from .sources.graphs import EXPLICIT, HISTORY, INFERRED, QUADS_DDL, QuadGraph
@@ -263,8 +263,3 @@ class QuadStore:
 
     def inferred(self) -> DataFrame:
         return self.quads.where(F.col("st") == INFERRED)
-
-
-def store_pattern() -> Group:
-    """The pattern of all statements."""
-    return Group([Triple(Var("s"), Var("p"), Var("o"))])
