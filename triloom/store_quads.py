@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .operators import inference
-from .operators import services as _services  # noqa: F401  they register themselves
 from .plans.algebra import Quad, Query, Update
 from .plans.compiler import instantiate
 from .plans.parser import parse_update
