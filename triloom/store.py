@@ -31,8 +31,11 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again."""
+    """``df`` written as Parquet into the shared folder and read again; it goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/triloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)  # noqa: SLF001
     return spark.read.schema(df.schema).parquet(path)
