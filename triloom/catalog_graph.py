@@ -140,3 +140,10 @@ def _property_graph(spark: SparkSession, d: str) -> DataFrame:
 add("property_graph_neighbours", _property_graph, "SELECT 'n' || n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2")
 add("service_sample", lambda s, d: engine(s, d).query("SELECT ?x WHERE { SERVICE <urn:x#sample> { ?x :n_name ?n . hint:Sample <urn:x#limit> 5 ; <urn:x#seed> 7 } }"))
 add("fn_random", lambda s, d: engine(s, d).query("SELECT ?x (UUID() AS ?u) (STRUUID() AS ?v) (RAND() AS ?r) (NOW() AS ?t) (BNODE() AS ?b) WHERE { ?x a :Region }"))
+
+_NATION = lambda s, d, text: Engine(s, table_graph(s, d, ["nation"]), prefixes={"": NS, "id": ID}).query(text)
+add("service_search", lambda s, d: _NATION(s, d, "SELECT ?x ?k WHERE { SERVICE <urn:x/search> { ?t <urn:x/search#search> '12' ; <urn:x/search#rank> ?k } ?x :n_name ?t }"), f"SELECT '{ID}nation/' || n_nationkey AS x, 2 AS k FROM nation WHERE n_name = 'NATION_12'")
+add("service_walk", lambda s, d: _NATION(s, d, "SELECT ?x ?d WHERE { SERVICE <urn:x/gas> { <urn:p> <urn:x/gas#gasClass> 'BFS' ; <urn:x/gas#in> <urn:triloom:nation/3> ; <urn:x/gas#linkType> :n_region ; <urn:x/gas#out> ?x ; <urn:x/gas#out1> ?d } }"), f"SELECT '{ID}nation/3' AS x, 0 AS d UNION ALL SELECT '{ID}region/' || n_regionkey, 1 FROM nation WHERE n_nationkey = 3")
+add("service_path", lambda s, d: _NATION(s, d, "SELECT ?x ?y WHERE { SERVICE <urn:x#alp> { ?x :n_region ?y . hint:SubQuery <urn:x#minLength> 1 ; <urn:x#maxLength> 3 } }"), f"SELECT '{ID}nation/' || n_nationkey AS x, '{ID}region/' || n_regionkey AS y FROM nation")
+add("service_slice", lambda s, d: _NATION(s, d, "SELECT ?k WHERE { SERVICE <urn:x#slice> { ?x :n_nationkey ?k . hint:SubQuery <urn:x#offset> 5 ; <urn:x#limit> 10 } }"), "SELECT n_nationkey AS k FROM nation ORDER BY 1 LIMIT 10 OFFSET 5")
+add("form_construct_graph", lambda s, d: rdf.statement_lines(_NATION(s, d, "CONSTRUCT { ?x :key ?k } WHERE { ?x :n_nationkey ?k FILTER(?k < 3) }")), f"SELECT '<{ID}nation/' || n_nationkey || '> <{NS}key> \"' || n_nationkey || '\"^^<http://www.w3.org/2001/XMLSchema#integer> .' AS value FROM nation WHERE n_nationkey < 3")
