@@ -63,6 +63,13 @@ def test_minus_and_not_exists_differ(store):
     assert rows(store, "SELECT ?x WHERE { ?x :name ?n FILTER NOT EXISTS { ?x :knows ?y } }") == [("urn:x#eve",)]
 
 
+def test_exists_inside_expressions(store):
+    both = "SELECT ?x WHERE { ?x :name ?n FILTER(EXISTS { ?x a :Robot } || (EXISTS { ?x :age ?a } && NOT EXISTS { ?x :knows :ben })) }"
+    assert rows(store, both) == [("urn:x#ben",), ("urn:x#carl",)]
+    assert rows(store, "SELECT ?x (IF(EXISTS { ?x :knows ?y }, 1, 0) AS ?k) WHERE { ?x a :Person }") == [("urn:x#anna", 1), ("urn:x#ben", 1)]
+    assert rows(store, "SELECT ?x ?k WHERE { ?x :name ?n BIND(EXISTS { ?x :age ?a } AS ?k) FILTER(!?k) }") == [("urn:x#dora", False), ("urn:x#eve", False)]
+
+
 def test_values_with_undef(store):
     found = rows(store, "SELECT ?x ?n WHERE { ?x :name ?n VALUES (?x ?n) { (:anna UNDEF) (UNDEF 'Eve') } }")
     assert found == [("urn:x#anna", "Anna"), ("urn:x#eve", "Eve")]

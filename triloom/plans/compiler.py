@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.expressions import CUSTOM_AGGREGATES, Evaluator, aggregate
+from ..functions.expressions import CUSTOM_AGGREGATES, Evaluator, aggregate, boolean
 from ..operators import joins, paths
 from ..sources.graphs import Graph, Solutions, constants
 from ..terms import BNODE, IRI, LITERAL, TERM_DDL, Term, Val, of_constant
@@ -99,8 +99,11 @@ class Compiler:
         calls = [c for e in [*(e for _, e in chosen or []), *having, *(e for e, _ in order)] for c in _aggregates(e)]
         if q.group_by or calls:
             found, computed = self.grouped(q, found, calls, scope)
-        else:
-            having = having[:]
+        for _, e in chosen or []:
+            if e is not None and _exists(e):
+                names = found.variables
+                found, computed[id(e)] = self.with_exists(found, e, scope)
+                found = Solutions(found.df, {**names, **found.variables}, found.maybe)
         maker = lambda s: Evaluator(s.variables, None, computed, scope.hints)
         values, maybe = dict(found.variables), set(found.maybe)
         names = []
@@ -350,16 +353,17 @@ class Compiler:
 
     def with_exists(self, s: Solutions, e: object, scope: Scope) -> tuple[Solutions, Val]:
         """The value of an expression; EXISTS inside it are flags that are joined first."""
-        flags: dict[int, Column] = {}
+        flags: dict[int, str] = {}
         base = s
         for x in _exists(e):
             base, hit = joins.flag(base, self.exists_group(x, s, scope))
-            name = f"flag {len(flags)} {self.fresh[0]}"
+            name = f" flag{self.fresh[0]}"
             self.fresh[0] += 1
-            df = base.df.withColumn(name, ~hit if x.negated else hit).drop("v_ hit")
-            base = Solutions(df, base.variables, base.maybe)
-            flags[id(x)] = F.col(f"`{name}`")
-        return base, self.evaluator(base, scope, lambda x: flags[id(x)]).val(e)
+            df = base.df.withColumn(f"v_{name}", ~hit if x.negated else hit).drop("v_ hit")
+            # A hidden variable, so that later joins keep it.
+            base = Solutions(df, {**base.variables, name: boolean(F.col(f"`v_{name}`"))}, base.maybe)
+            flags[id(x)] = name
+        return base, self.evaluator(base, scope, lambda x: base.val(flags[id(x)]).col).val(e)
 
     def optional(self, found: Solutions | None, g: Group, scope: Scope) -> Solutions:
         """A left join; the group's own filters hold for solutions that join, and see both sides."""
