@@ -178,6 +178,13 @@ def test_graphs_and_datasets(spark):
     assert count("SELECT (COUNT(*) AS ?n) WHERE { hint:Query hint:defaultGraphDistinctFilter false . ?s :p ?o }")[0].n == 4
 
 
+def test_paths_stay_in_their_graph(spark):
+    s = QuadStore(spark)
+    s.update(PREFIX + "INSERT DATA { GRAPH g:1 { :a :p :b . :b :p :c } GRAPH g:2 { :c :p :d } }")
+    assert rows(s, "SELECT ?g ?x WHERE { GRAPH ?g { :a :p+ ?x } }") == [("urn:g#1", "urn:x#b"), ("urn:g#1", "urn:x#c")]
+    assert rows(s, "SELECT ?x WHERE { :a :p+ ?x }") == [("urn:x#b",), ("urn:x#c",), ("urn:x#d",)]
+
+
 def test_updates_and_change_log(spark):
     s = QuadStore(spark, history=True)
     s.update(PREFIX + "INSERT DATA { :a :p 1 . :a :p 2 . :b :p 3 }; DELETE { ?s :p ?o } INSERT { ?s :q ?o } WHERE { ?s :p ?o FILTER(?o > 1) }")

@@ -20,6 +20,8 @@ from ..terms import Term, Val, iri
 from .joins import distinct, inner, union
 
 _S, _O = "path s", "path o"
+#: Graphs that a path with a variable graph is matched in, one after the other.
+GRAPHS = 64
 
 
 def _pairs(s: Solutions, start: str, end: str) -> Solutions:
@@ -158,7 +160,9 @@ def _step(pairs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def match(graph: Graph, triple: Triple, g: object, fresh: list[int]) -> Solutions:
-    """Solutions of a triple whose predicate is a path."""
+    """Solutions of a triple whose predicate is a path; a walk stays in one graph."""
+    if isinstance(g, Var) and hasattr(graph, "quads"):
+        return _in_each_graph(graph, triple, g, fresh)
     start = triple.s if isinstance(triple.s, Term) else None
     end = triple.o if isinstance(triple.o, Term) else None
     found = relation(graph, triple.p, g, start, end, fresh)
@@ -177,6 +181,18 @@ def match(graph: Graph, triple: Triple, g: object, fresh: list[int]) -> Solution
     return Solutions.of(rows, values)
 
 
+def _in_each_graph(graph: Graph, triple: Triple, g: Var, fresh: list[int]) -> Solutions:
+    """The matches in each named graph, up to ``GRAPHS`` of them."""
+    names = [r[0] for r in graph.quads.where("g is not null").select("g.lex").distinct().limit(GRAPHS + 1).collect()]
+    if len(names) > GRAPHS:
+        raise ValueError(f"a path over a variable graph is for {GRAPHS} graphs at most; name the graph")
+    parts = []
+    for name in sorted(names) or ["urn:none"]:
+        found = match(graph, triple, iri(name), fresh)
+        parts.append(Solutions.of(found.df, {**found.variables, g.name: Val(F.lit(name), "iri")}, found.maybe))
+    return reduce(union, parts)
+
+
 def between(graph: Graph, predicate: str, low: int, high: int | None, g: object = None) -> Solutions:
     """The pairs that are ``low`` to ``high`` steps of one predicate apart."""
     return distinct(relation(graph, Path("rep", (iri(predicate),), low, high), g))
