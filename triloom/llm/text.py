@@ -164,7 +164,7 @@ def grams(h: np.ndarray, size: int) -> np.ndarray:
     count = len(h) - size + 1
     if count <= 0:
         return np.zeros(0, np.uint64)
-    total = np.full(count, np.uint64(size) * _GRAM[-1], np.uint64)
+    total = np.full(count, size, np.uint64) * _GRAM[-1]
     for k in range(size):
         total += mix(h[k : k + count] + _GRAM[k % 63]) * _GRAM[(k * 7 + 3) % 63]
     return mix(total)
