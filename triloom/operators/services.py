@@ -18,7 +18,7 @@ from ..sources.graphs import Solutions, constants
 from ..terms import Term, Val
 from .ordering import numbered
 
-#: Stop words that no analyzer keeps.
+#: The usual English stop words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
 
@@ -128,7 +128,7 @@ def _search_service(compiler, group: Group, scope, found) -> Solutions:
 
 # --- geospatial
 
-#: Metres in a unit.
+#: Metres in a unit.
 UNITS = {"meters": 1.0, "kilometers": 1000.0, "feet": 0.3048, "miles": 1609.344, "nauticalmiles": 1852.0}
 
 
@@ -136,7 +136,7 @@ def distance(lat1: Column, lon1: Column, lat2: Column, lon2: Column, unit: str =
     """The great-circle distance by the spherical law of cosines, in a unit."""
     a, b = F.radians(lat1), F.radians(lat2)
     inner = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(F.radians(lon1 - lon2))
-    # Degrees of arc, of 60 nautical miles of 1.1515 statute miles.
+    # A degree of arc is 60 nautical miles of 1.1515 statute miles of 1609.344 m.
     metres = F.degrees(F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), inner)))) * F.lit(60 * 1.1515 * 1609.344)
     return F.when((lat1 == lat2) & (lon1 == lon2), 0.0).otherwise(metres / F.lit(UNITS[unit.lower()]))
 
