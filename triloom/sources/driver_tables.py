@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .graphs import TableGraph, TableMap
 
@@ -27,13 +28,24 @@ _TABLES = [
 ]
 
 
+#: Schemas of tables that were opened, so that a query's plan costs no job to read them again.
+_schemas: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def table_graph(spark: SparkSession, sf_dir: str, tables: list[str] | None = None) -> TableGraph:
     """A graph of the tables; every column is a predicate of its name, and keys and foreign keys are links."""
     maps = []
     for name, key, links, rows in _TABLES:
         if tables is not None and name not in tables:
             continue
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        df = table(spark, f"{sf_dir}/{name}.parquet")
         if len(key) == 1:
             subject = key[0]
         else:
