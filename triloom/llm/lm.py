@@ -3,6 +3,9 @@
 The network reads the words around a masked one, ``REACH`` on either side:
 their embeddings, scaled by place, are summed and squashed, and a softmax gives
 the masked word's class; within a class words have their corpus frequencies.
+Words outside the network's vocabulary, which grows as the root of the corpus,
+share buckets there; within its bucket each has its own corpus frequency, joined
+from the table of counts of all words.
 The log-probabilities of all words, each given both sides, add up to the
 text's pseudo-log-likelihood.
 
@@ -15,6 +18,7 @@ grows with the corpus, while the driver gets one set of parameters.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,33 +27,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import small_batches, written
 from .text import NON_SPACE, scan, slices
 
-#: Words of the vocabulary, buckets of other words, classes, width, words seen on either side.
+#: Words of the vocabulary at least, buckets of other words, classes, width, words seen on either side.
 WORDS, BUCKETS, CLASSES, WIDTH, REACH = 8192, 64, 128, 24, 2
-#: Words that are less than one in so many are not in the vocabulary.
-RARE = 1_000_000
 #: Every so many positions one is trained on; positions of a step; blocks of parameters.
 STRIDE, STEP, BLOCKS = 8, 512, 256
+_STEPS = 1 << 40
 _PLACES = [d for d in range(-REACH, REACH + 1) if d]
 
 
 @dataclass
 class Vocabulary:
-    """Words by hash, the class of each token, log-probabilities within classes, and shares of classes."""
+    """Words by hash, the class of each token, log-probabilities within classes, shares of classes, and logs of the buckets' masses."""
 
     hashes: np.ndarray
     number: np.ndarray
     of: np.ndarray
     within: np.ndarray
     shares: np.ndarray
+    masses: np.ndarray
 
     @classmethod
-    def of_counts(cls, hashes: np.ndarray, counts: np.ndarray, other: int) -> Vocabulary:
-        """From the frequent words, most frequent first, and the number of all other words."""
+    def of_counts(cls, hashes: np.ndarray, counts: np.ndarray, other: int | np.ndarray) -> Vocabulary:
+        """From the frequent words, most frequent first, and the number of all other words, whole or by bucket."""
         n = len(hashes)
-        weight = np.concatenate([counts, np.full(BUCKETS, max(other, 1) / BUCKETS)]).astype(np.float64)
+        other = np.full(BUCKETS, max(other, 1) / BUCKETS) if np.ndim(other) == 0 else other
+        weight = np.concatenate([counts, other]).astype(np.float64)
         order = np.argsort(-weight, kind="stable")
         # Frequent tokens have classes of their own; the others share classes of equal mass.
         of, left, place = np.zeros(n + BUCKETS, np.int32), weight.sum(), 0
@@ -62,7 +67,7 @@ class Vocabulary:
             left -= mass
         whole = np.bincount(of, weight, CLASSES)
         by_hash = np.argsort(hashes)
-        return cls(hashes[by_hash], by_hash.astype(np.int32), of, np.log(weight / whole[of]).astype(np.float32), whole / whole.sum())
+        return cls(hashes[by_hash], by_hash.astype(np.int32), of, np.log(weight / whole[of]).astype(np.float32), whole / whole.sum(), np.log(other).astype(np.float64))
 
     def tokens(self, h: np.ndarray) -> np.ndarray:
         """Token numbers of word hashes; words that aren't known go to buckets."""
@@ -193,20 +198,41 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array([total[k][0] for k in names], pa.int64()), pa.array([total[k][1].astype(np.float32).tobytes() for k in names], pa.binary())], names=["block", "n", "sum"])
 
 
-def fit(texts: DataFrame, stride: int = STRIDE, step: int = STEP) -> tuple[Vocabulary, np.ndarray | None]:
-    """Vocabulary and parameters from the column ``text`` of all rows."""
+def _frequent(counts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """About ``size`` most frequent words and their counts, most frequent first.
+
+    The number of words by count says where to cut; words of the last count are
+    chosen by hash, so no task holds a top list.
+    """
+    left, least, share = size, 0, 0
+    for n, words in counts.groupBy("n").agg(F.count(F.lit(1))).orderBy(F.desc("n")).collect():
+        if words > left:
+            least, share = n, left * _STEPS // words
+            break
+        left -= words
+    last = (F.col("n") == least) & (F.pmod(F.xxhash64("word"), F.lit(_STEPS)) < share)
+    found = counts.where((F.col("n") > least) | last).toArrow()
+    words, n = found.column("word").to_numpy(), found.column("n").to_numpy()
+    order = np.lexsort((words, -n))
+    return words[order].view(np.uint64), n[order]
+
+
+def fit(texts: DataFrame, stride: int = STRIDE, step: int = STEP) -> tuple[Vocabulary, np.ndarray | None, DataFrame]:
+    """Vocabulary, parameters and the counts of all words (word, n) from the column ``text`` of all rows."""
     spark = texts.sparkSession
-    whole = texts.select(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]++")))).first()[0] or 0
-    counts = texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    found = counts.where(F.col("n") * RARE >= whole).orderBy(F.desc("n"), "word").limit(WORDS).collect()
-    hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
-    n = np.array([r[1] for r in found], np.int64)
-    vocabulary = Vocabulary.of_counts(hashes, n, int(whole - n.sum()))
+    counts = written(texts.mapInArrow(_count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    masses = np.zeros(BUCKETS, np.int64)
+    for bucket, n in counts.groupBy(F.shiftrightunsigned("word", 58)).agg(F.sum("n")).collect():
+        masses[bucket % BUCKETS] += n
+    hashes, n = _frequent(counts, max(WORDS, math.isqrt(int(masses.sum()))))
+    np.subtract.at(masses, (hashes >> np.uint64(58)).astype(np.int64) % BUCKETS, n)
+    # One more for words that were never seen.
+    vocabulary = Vocabulary.of_counts(hashes, n, masses + 1)
     held = spark.sparkContext.broadcast(vocabulary)
     blocks = texts.mapInArrow(_train(held, stride, step), "block int, n long, sum binary").repartition("block").mapInArrow(_average, "block int, n long, sum binary").orderBy("block").collect()
     if not blocks:
-        return vocabulary, None
-    return vocabulary, np.concatenate([np.frombuffer(bytes(b[2]), np.float32).astype(np.float64) / b[1] for b in blocks]).astype(np.float32)
+        return vocabulary, None, counts
+    return vocabulary, np.concatenate([np.frombuffer(bytes(b[2]), np.float32).astype(np.float64) / b[1] for b in blocks]).astype(np.float32), counts
 
 
 def _score(held):
@@ -226,10 +252,18 @@ def _score(held):
                     at = np.arange(k, min(k + (1 << 14), len(tokens)))
                     classes = network.log_classes(network.hidden(_around(tokens, found.row, at, edge)))
                     log[at] = classes[np.arange(len(at)), vocabulary.of[tokens[at]]] + vocabulary.within[tokens[at]]
+                far = np.flatnonzero(tokens >= edge - BUCKETS)
+                log[far] -= vocabulary.masses[tokens[far] - (edge - BUCKETS)]
+                owner, words = found.row[far], found.hash[far].view(np.int64)
+                order = np.lexsort((words, owner))
+                owner, words = owner[order], words[order]
+                first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (words[1:] != words[:-1])][: len(far)])
+                times = np.diff(np.r_[first, len(far)])
+                ends = np.searchsorted(owner[first], np.arange(part.num_rows + 1)).astype(np.int32)
                 n = np.bincount(found.row, minlength=part.num_rows)
                 total = np.bincount(found.row, log, part.num_rows)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(total), mean], names=["row", "n_words", "log_likelihood", "mean"])
+                others = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int64())) for x in (words[first], times)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(total), *others], names=["row", "place", "n_words", "log", "word", "times"])
 
     return run
 
@@ -239,12 +273,21 @@ def score(docs: DataFrame, text_col: str = "text", learn: DataFrame | None = Non
 
     The network is trained on the texts of ``learn``, by default of ``docs``.
     Words are runs of non-white-space, A-Z lower-cased.  Null and empty texts
-    have no words.  Under an empty training table all words are unknown.  The
+    have no words.  Under an empty training table all words are unknown; an unknown
+    word counts as one that was seen once.  The
     result depends on how the texts are dealt to tasks, as each task trains a
     network; it is the same again for the same files and settings.
     """
     texts = (small_batches(docs) if learn is None else learn).select(F.col(text_col).cast("string").alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(fit(texts, stride, step))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    vocabulary, flat, counts = fit(texts, stride, step)
+    held = docs.sparkSession.sparkContext.broadcast((vocabulary, flat))
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(_score(held), f"row {kind}, n_words long, log_likelihood double, mean double")
+    found = written(rows.mapInArrow(_score(held), f"row {kind}, place long, n_words long, log double, word array<long>, times array<long>"))
+    others = found.select("place", F.explode(F.arrays_zip("word", "times")).alias("x")).select("place", "x.word", "x.times")
+    # Decimals, so that sums don't depend on the order of rows.
+    own = (F.col("times") * F.log(F.coalesce("n", F.lit(1)))).cast("decimal(28,12)")
+    others = others.join(counts, "word", "left").groupBy("place").agg(F.sum(own).cast("double").alias("own"))
+    log = F.col("log") + F.coalesce("own", F.lit(0.0))
+    mean = F.when(F.col("n_words") > 0, log / F.col("n_words"))
+    return found.join(others, "place", "left").select("row", "n_words", log.alias("log_likelihood"), mean.alias("mean"))
