@@ -2,7 +2,7 @@
 
 import math
 from collections import Counter
-
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -40,3 +40,11 @@ def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
     n = Counter(w for _, t in texts for w in t.split())
     assert len(vocabulary.hashes) >= 0.8 * math.isqrt(n.total()) > 4
     assert sorted(r.n for r in counts.collect()) == sorted(n.values())
+
+
+def test_every_word_of_every_text_is_trained_on():
+    texts = pa.array(["one two three", "four", None, "", "five six seven eight nine ten", "w " * 3000])
+    words = [w for t in texts.to_pylist() for w in (t or "").split()]
+    held = SimpleNamespace(value=lm.Vocabulary.of_counts(np.unique(scan(texts, NON_SPACE).hash), np.full(len(set(words)), 1), 1))
+    (out,) = lm._train(held, lm.STRIDE, lm.STEP)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
+    assert set(out.column("n").to_pylist()) == {len(words)}

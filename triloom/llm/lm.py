@@ -10,8 +10,8 @@ The log-probabilities of all words, each given both sides, add up to the
 text's pseudo-log-likelihood.
 
 Vocabulary and frequencies come from counts over the whole corpus.  The network
-is trained in numpy by all tasks at once, each on its own texts (every
-``STRIDE``-th position of every text), and the tasks' parameters are averaged,
+is trained in numpy by all tasks at once, each on its own texts (every position
+of every text), and the tasks' parameters are averaged,
 weighted by positions, in a shuffle by parameter block; so what is gathered
 grows with the corpus, while the driver gets one set of parameters.
 """
@@ -32,8 +32,8 @@ from .text import NON_SPACE, scan, slices
 
 #: Words of the vocabulary at least, buckets of other words, classes, width, words seen on either side.
 WORDS, BUCKETS, CLASSES, WIDTH, REACH = 8192, 64, 128, 24, 2
-#: Every so many positions one is trained on; positions of a step; blocks of parameters.
-STRIDE, STEP, BLOCKS = 8, 512, 256
+#: Every so many positions one is trained on: all are; positions of a step; blocks of parameters.
+STRIDE, STEP, BLOCKS = 1, 512, 256
 _STEPS = 1 << 40
 _PLACES = [d for d in range(-REACH, REACH + 1) if d]
 
