@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from triloom.llm import decontaminate, jaccard, langid, mixing, pii
@@ -22,10 +22,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near copies (five-word shingles, similarity 0.8), that with the smallest id."""
-    groups = jaccard.similar_groups(docs, words=5, percent=80)
-    kept = groups.where("component_id is null or component_id = doc_id").select("doc_id")
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """One row of each group of near copies (five-word shingles, similarity 0.8).
+
+    It is that with the smallest id; rows without an id come last.  Rows, not
+    ids, are compared: equal rows are one node and leave one row, rows that
+    share an id or have none are nodes of their own.  Rows without words link
+    with nothing and all stay.
+    """
+    # Nulls don't change the hash, so it is told where they are.
+    key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
+    rows = docs.withColumn("row_key", key)
+    groups = jaccard.similar_groups(rows, id_col="row_key", words=5, percent=80)
+    ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    nodes = groups.groupBy("row_key").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).join(ids, "row_key")
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", "n_shingles")).alias("best")
+    kept = nodes.groupBy("component_id").agg(best).select("best.row_key", "best.n_shingles")
+    copy = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return rows.join(kept, "row_key").withColumn("copy", copy).where("copy = 1 or n_shingles = 0").select(docs.columns)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

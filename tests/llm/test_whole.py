@@ -7,6 +7,7 @@ from types import SimpleNamespace
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from triloom.llm import lm
 from triloom.llm.text import NON_SPACE, scan
 
@@ -48,3 +49,25 @@ def test_every_word_of_every_text_is_trained_on():
     held = SimpleNamespace(value=lm.Vocabulary.of_counts(np.unique(scan(texts, NON_SPACE).hash), np.full(len(set(words)), 1), 1))
     (out,) = lm._train(held, lm.STRIDE, lm.STEP)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
     assert set(out.column("n").to_pylist()) == {len(words)}
+
+
+# --- pipeline
+
+
+def test_one_row_of_each_group_whatever_the_ids(spark):
+    text = lambda w: " ".join(f"{w}{k}" for k in range(40))
+    rows = [
+        *[(1, text("a"), "en")] * 3,  # a file read twice
+        (None, text("a"), "en"),
+        (None, text("b"), "en"),
+        (None, text("b") + " more", "en"),
+        (5, text("a"), "de"),  # an id on two texts
+        (5, text("c"), None),
+        (None, text("d"), None),
+        (None, text("e"), None),
+        (8, None, None),
+        (8, None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(((r.doc_id, (r.text or "-")[0]) for r in got), key=str) == sorted([(1, "a"), (None, "b"), (5, "c"), (None, "d"), (None, "e"), (8, "-"), (8, "-")], key=str)
