@@ -437,30 +437,44 @@ def test_network_learns_and_scores_whole_texts(spark):
     odd = [None, "", "  ", "unseen", "w1 " * 30_000]
     learn = table(spark, list(enumerate(texts)))
     docs = table(spark, list(enumerate([*texts[:50], *shuffled, *odd])))
-    got = {r.row.doc_id: r for r in lm.score(docs, learn=learn, stride=1, step=64).collect()}
+    got = {r.row.doc_id: r for r in lm.score(docs, learn=learn).collect()}
     mean = lambda ids: sum(got[i]["mean"] for i in ids) / len(ids)
     assert mean(range(50)) > mean(range(50, 100)) + 0.5
     assert [(got[i].n_words, got[i].log_likelihood, got[i]["mean"]) for i in (100, 101, 102)] == [(0, 0.0, None)] * 3
     assert got[103].n_words == 1 and got[104].n_words == 30_000
     assert lm.score(docs.limit(0)).count() == 0
-    assert {r.row.doc_id: r.log_likelihood for r in lm.score(docs, learn=learn, stride=1, step=64).collect()} == {i: r.log_likelihood for i, r in got.items()}
+    assert {r.row.doc_id: r.log_likelihood for r in lm.score(docs, learn=learn).collect()} == {i: r.log_likelihood for i, r in got.items()}
 
 
 def test_scores_are_conditional_probabilities():
     vocabulary = lm.Vocabulary.of_counts(np.arange(1, 400, dtype=np.uint64) << np.uint64(40), np.arange(400, 1, -1), 50)
-    network = lm.Network(len(vocabulary.of))
-    around = np.array([[1, 2, 3, 4], [463, 463, 7, 8]])
-    classes = np.exp(network.log_classes(network.hidden(around)))
-    assert np.allclose(classes.sum(1), 1, atol=1e-5)
-    whole = classes[:, vocabulary.of] * np.exp(vocabulary.within)
-    assert np.allclose(whole.sum(1), 1, atol=1e-4)
-
-
-def test_gradient_of_the_network():
-    network = lm.Network(30, seed=1)
-    around, target = np.random.default_rng(2).integers(0, 30, (64, 4)), np.random.default_rng(3).integers(0, lm.CLASSES, 64)
-    loss = lambda: -network.log_classes(network.hidden(around))[np.arange(64), target].mean()
+    network = lm.Network(vocabulary)
+    for around in ([1, 2, 3, 4], [463, 463, 7, 8]):
+        every = np.array([[*around[:2], t, *around[2:]] for t in range(vocabulary.edge)], np.int32)
+        assert np.exp(network.log_probability(every)).sum() == pytest.approx(1, abs=1e-4)
+        network.top *= 400  # logits so large that the maximum has to be taken off
+        assert np.exp(network.log_probability(every)).sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_gradient_of_the_network(monkeypatch):
+    vocabulary = lm.Vocabulary.of_counts(np.arange(1, 30, dtype=np.uint64), np.arange(30, 1, -1), 50)
+    network = lm.Network(vocabulary, seed=1)
+    tokens = np.random.default_rng(2).integers(0, vocabulary.edge + 1, (16, 12)).astype(np.int32)
+    words = (tokens[:, 2:-2] != vocabulary.edge).ravel()
+    loss = lambda: -network.log_probability(tokens)[words].astype(float).mean()
     before = loss()
-    for _ in range(50):
-        network.step(around, target)
+    slopes = []
+    for k, p in enumerate(network.parameters()):
+        at = (3, 0) if p.ndim > 1 else (3,)
+        was = p[at]
+        p[at] = was + 0.01
+        up = loss()
+        p[at] = was - 0.01
+        slopes.append((k, at, (up - loss()) / 0.02, was.copy()))
+        p[at] = was
+    network.step(tokens, rate=1e-4)
+    for k, at, slope, was in slopes:
+        assert np.sign(was - network.parameters()[k][at]) == np.sign(slope) or abs(slope) < 2e-4, (k, slope)
+    for _ in range(100):
+        network.step(tokens)
     assert loss() < before - 1

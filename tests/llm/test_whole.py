@@ -1,11 +1,13 @@
 """The whole job: nothing of the input is sampled, capped or lost."""
 
 import math
+import random
 from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 import corpus_pipeline
 from triloom.llm import lm
@@ -37,18 +39,84 @@ def test_words_outside_the_vocabulary_have_their_own_frequency(spark, monkeypatc
 def test_vocabulary_grows_with_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(lm, "WORDS", 4)
     texts = [(k, " ".join(f"w{j}" for j in range(k % 90 + 1))) for k in range(180)]
-    vocabulary, _, counts = lm.fit(table(spark, texts).select("text"))
+    vocabulary, _, counts = lm.fit(table(spark, texts))
     n = Counter(w for _, t in texts for w in t.split())
     assert len(vocabulary.hashes) >= 0.8 * math.isqrt(n.total()) > 4
     assert sorted(r.n for r in counts.collect()) == sorted(n.values())
 
 
-def test_every_word_of_every_text_is_trained_on():
+@pytest.mark.parametrize("chunk", [1 << 16, 70])
+def test_every_word_of_every_text_is_trained_on(monkeypatch, chunk):
+    monkeypatch.setattr(lm, "CHUNK", chunk)
     texts = pa.array(["one two three", "four", None, "", "five six seven eight nine ten", "w " * 3000])
-    words = [w for t in texts.to_pylist() for w in (t or "").split()]
-    held = SimpleNamespace(value=lm.Vocabulary.of_counts(np.unique(scan(texts, NON_SPACE).hash), np.full(len(set(words)), 1), 1))
-    (out,) = lm._train(held, lm.STRIDE, lm.STEP)(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))
-    assert set(out.column("n").to_pylist()) == {len(words)}
+    found = scan(texts, NON_SPACE)
+    vocabulary = lm.Vocabulary.of_counts(np.unique(found.hash), np.arange(1, len(set(found.hash.tolist())) + 1), 1)
+    seen = Counter()
+    step = lm.Network.step
+
+    def watched(self, tokens, skip=False, rate=lm.RATE):
+        inner = tokens[:, lm.REACH : -lm.REACH].ravel()
+        for k in np.flatnonzero((inner != self.edge) & ~skip):
+            row, at = divmod(int(k), tokens.shape[1] - 2 * lm.REACH)
+            seen[tuple(tokens[row, at : at + 2 * lm.REACH + 1].tolist())] += 1
+        return step(self, tokens, skip, rate)
+
+    monkeypatch.setattr(lm.Network, "step", watched)
+    (made,) = lm._tokenise(SimpleNamespace(value=vocabulary))(iter([pa.RecordBatch.from_arrays([pa.array([0] * 6, pa.int32()), pa.array(range(6), pa.int64()), texts], names=["shard", "key", "text"])]))
+    out = list(lm._train(SimpleNamespace(value=vocabulary), None)(iter([made])))
+    tokens, bounds = vocabulary.tokens(found.hash)[0], found.bounds()
+    want = Counter()
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        line = [vocabulary.edge] * lm.REACH + tokens[low:high].tolist() + [vocabulary.edge] * lm.REACH
+        want.update(tuple(line[k : k + 2 * lm.REACH + 1]) for k in range(high - low))
+    assert seen == want
+    assert set(out[0].column("n").to_pylist()) == {len(tokens)}
+
+
+def plain_scores(network, vocabulary, n, texts):
+    """Scores by loops over words."""
+    embed, gate, scale, top, bias, low = (p.astype(float) for p in network.parameters())
+
+    def soft(z):
+        z = np.exp(z - z.max())
+        return z / z.sum()
+
+    out = []
+    for text in texts:
+        h = scan(pa.array([text or ""]), NON_SPACE).hash
+        tokens, far = vocabulary.tokens(h)
+        total = 0.0
+        for k, t in enumerate(tokens.tolist()):
+            near = [tokens[k + d] if 0 <= k + d < len(tokens) else vocabulary.edge for d in (-2, -1, 1, 2)]
+            hidden = np.tanh(sum(embed[x] * scale[j] for j, x in enumerate(near)))
+            c, s = divmod(t, vocabulary.side)
+            total += math.log(soft(hidden @ top + bias)[c]) + math.log(soft((hidden * gate[c]) @ low + vocabulary.within[c])[s])
+            if far[k]:
+                total += math.log(max(1, n.get(int(h[k].astype(np.int64)), 0))) - vocabulary.masses[int(h[k]) >> 58]
+        out.append((len(tokens), total))
+    return out
+
+
+def test_scores_are_those_of_plain_loops_however_rows_are_dealt(spark, monkeypatch):
+    for name, value in {"WORDS": 60, "SHARD": 3000, "CHUNK": 700, "LOOKUP": 2000, "RANGE": 64}.items():
+        monkeypatch.setattr(lm, name, value)
+    rnd = random.Random(10)
+    texts = [" ".join(rnd.choice([f"a{rnd.randrange(40)}", f"b{rnd.randrange(900)}"]) for _ in range(rnd.randrange(70))) for _ in range(300)] + [None, "", " ", "A1 a1", "never seen", "b7 " * 3000]
+    rows = [(k, t, "x") for k, t in enumerate(texts)] + [(0, texts[0], "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mean string").coalesce(1)
+    vocabulary, flat, counts = lm.fit(docs)
+    assert vocabulary.edge < 200 and counts.count() > 400
+    n = {r.word: r.n for r in counts.collect()}
+    want = plain_scores(lm.Network(vocabulary).load(flat), vocabulary, n, texts)
+    for dealt in (docs, docs.repartition(64)):
+        got = lm.score(dealt).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            words, log = want[r.row.doc_id]
+            assert r.n_words == words and math.isclose(r.log_likelihood, log, rel_tol=2e-4, abs_tol=1e-6), r
+            assert (r["mean"] is None) == (words == 0)
+    few = lm.score(docs, keep=("doc_id",))
+    assert few.schema["row"].dataType.names == ["doc_id"] and few.count() == len(rows)
 
 
 # --- pipeline

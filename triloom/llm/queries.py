@@ -201,7 +201,7 @@ FROM m LEFT JOIN k USING (conv_id, segment) LEFT JOIN o USING (conv_id, segment)
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pseudo-log-likelihood of every text under a network trained on all."""
-    found = lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lm.score(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
     return found.select("row.doc_id", "n_words", "log_likelihood", F.col("mean").alias("mean_log_likelihood"))
 
 
