@@ -452,7 +452,7 @@ def test_scores_are_conditional_probabilities():
     for around in ([1, 2, 3, 4], [463, 463, 7, 8]):
         every = np.array([[*around[:2], t, *around[2:]] for t in range(vocabulary.edge)], np.int32)
         assert np.exp(network.log_probability(every)).sum() == pytest.approx(1, abs=1e-4)
-        network.top *= 400  # logits so large that the maximum has to be taken off
+        network.branch[0] *= 400  # logits so large that the maximum has to be taken off
         assert np.exp(network.log_probability(every)).sum() == pytest.approx(1, abs=1e-3)
 
 

@@ -75,7 +75,8 @@ def test_every_word_of_every_text_is_trained_on(monkeypatch, chunk):
 
 def plain_scores(network, vocabulary, n, texts):
     """Scores by loops over words."""
-    embed, gate, scale, top, bias, low = (p.astype(float) for p in network.parameters())
+    embed, *node, scale = (p.astype(float) for p in network.parameters()[: lm.LEVELS + 2])
+    branch = [p.astype(float) for p in network.branch]
 
     def soft(z):
         z = np.exp(z - z.max())
@@ -89,8 +90,9 @@ def plain_scores(network, vocabulary, n, texts):
         for k, t in enumerate(tokens.tolist()):
             near = [tokens[k + d] if 0 <= k + d < len(tokens) else vocabulary.edge for d in (-2, -1, 1, 2)]
             hidden = np.tanh(sum(embed[x] * scale[j] for j, x in enumerate(near)))
-            c, s = divmod(t, vocabulary.side)
-            total += math.log(soft(hidden @ top + bias)[c]) + math.log(soft((hidden * gate[c]) @ low + vocabulary.within[c])[s])
+            for level in range(lm.LEVELS):
+                up, digit = divmod(t // vocabulary.side ** (lm.LEVELS - 1 - level), vocabulary.side)
+                total += math.log(soft((hidden * node[level][up]) @ branch[level] + vocabulary.base[level][up])[digit])
             if far[k]:
                 total += math.log(max(1, n.get(int(h[k].astype(np.int64)), 0))) - vocabulary.masses[int(h[k]) >> 58]
         out.append((len(tokens), total))

@@ -1,10 +1,11 @@
 """Masked pseudo-likelihood of texts under a bidirectional window network.
 
 The network reads the words around a masked one, ``REACH`` on either side:
-their embeddings, scaled by place, are summed and squashed to ``h``.  The masked
-word's probability is a softmax of two levels, both of which see ``h``: first its
-class, then the word within the class, whose output vector is the product of a
-vector of the class and one of the slot.  Both start from corpus frequencies.
+their embeddings, scaled by place, are summed and squashed to ``h``.  Words, by
+falling frequency, are the leaves of a tree of ``LEVELS`` levels, and the masked
+word's probability is the product of a softmax at each node on its path.  All of
+them see ``h``: a branch's vector is the product of a vector of the node and one of
+the branch's number, and its bias is the corpus frequency of the branch.
 The log-probabilities of all words, each given both sides, add up to the
 text's pseudo-log-likelihood.
 
@@ -35,8 +36,8 @@ from pyspark.sql import functions as F
 from .store import small_batches, written
 from .text import NON_SPACE, Words, scan, slices
 
-#: Words of the network's vocabulary at least and at most, buckets of other words, width, words seen on either side.
-WORDS, MOST, BUCKETS, WIDTH, REACH = 8192, 65_000, 64, 16, 2
+#: Words of the network's vocabulary at least and at most, buckets of other words, levels of the tree, width, words seen on either side.
+WORDS, MOST, BUCKETS, LEVELS, WIDTH, REACH = 8192, 65_000, 64, 3, 20, 2
 #: Rounds of averaging; words of a shard at least, and shards at most; blocks of parameters.
 ROUNDS, SHARD, SHARDS, BLOCKS = 4, 1 << 22, 4096, 64
 #: Positions taken up at once, the segments that they are cut into, and positions of each that a step reads.
@@ -54,17 +55,16 @@ _SAFE = 80.0
 
 @dataclass
 class Vocabulary:
-    """Words by hash, their numbers and those of buckets, log-frequencies of classes and of numbers within them, and logs of the buckets' masses.
+    """Words by hash, their numbers and those of buckets, log-frequencies of branches at the nodes of each level, and logs of the buckets' masses.
 
-    Numbers run by falling frequency; that of class ``c`` and slot ``s`` is
-    ``c * side + s``.
+    Numbers run by falling frequency; written to the base ``side`` their digits
+    are the branches from the root on.
     """
 
     hashes: np.ndarray
     number: np.ndarray
     bucket: np.ndarray
-    classes: np.ndarray
-    within: np.ndarray
+    base: list[np.ndarray]
     masses: np.ndarray
 
     @classmethod
@@ -76,20 +76,22 @@ class Vocabulary:
         order = np.argsort(-weight, kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        side = math.isqrt(len(order) - 1) + 1
-        table = np.zeros(side * side)
-        table[: len(order)] = weight[order]
-        table = table.reshape(side, side)
-        whole = table.sum(1, keepdims=True)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            within = np.where(table > 0, np.log(table / whole), _NEVER)
-            classes = np.where(whole[:, 0] > 0, np.log(whole[:, 0] / weight.sum()), _NEVER)
+        side = 2
+        while side**LEVELS < len(order):
+            side += 1
+        leaves = np.zeros(side**LEVELS)
+        leaves[: len(order)] = weight[order]
+        base = []
+        for k in range(LEVELS):
+            branch = leaves.reshape(side ** (k + 1), -1).sum(1).reshape(-1, side)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                base.append(np.where(branch > 0, np.log(branch / branch.sum(1, keepdims=True)), _NEVER).astype(np.float32))
         by_hash = np.argsort(hashes)
-        return cls(hashes[by_hash], place[:n][by_hash], place[n:], classes.astype(np.float32), within.astype(np.float32), np.log(other).astype(np.float64))
+        return cls(hashes[by_hash], place[:n][by_hash], place[n:], base, np.log(other).astype(np.float64))
 
     @property
     def side(self) -> int:
-        return len(self.classes)
+        return self.base[0].shape[1]
 
     @property
     def edge(self) -> int:
@@ -112,31 +114,22 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(58)).astype(np.int64) % BUCKETS
 
 
-def _softmax(z: np.ndarray, bound: float) -> np.ndarray:
-    """Exponentials of rows in place; their sums."""
-    if not bound < _SAFE:
-        z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    return z.sum(1)
-
-
 class Network:
-    """Embeddings (the last row is the edge of a text), scales of places, and the two output levels."""
+    """Embeddings (the last row is the edge of a text), scales of places, and for each level the vectors of nodes and of branches."""
 
     def __init__(self, vocabulary: Vocabulary, seed: int = 11):
         r, side = np.random.default_rng(seed), vocabulary.side
-        self.side, self.edge, self.within = side, vocabulary.edge, vocabulary.within
-        self.embed = (r.standard_normal((vocabulary.edge + 1, WIDTH)) * 0.1).astype(np.float32)
-        self.scale = (1 + r.standard_normal((len(_PLACES), WIDTH)) * 0.3).astype(np.float32)
-        self.top = (r.standard_normal((WIDTH, side)) * 0.1).astype(np.float32)
-        self.bias = vocabulary.classes.copy()
-        self.gate = (1 + r.standard_normal((side, WIDTH)) * 0.3).astype(np.float32)
-        self.low = (r.standard_normal((WIDTH, side)) * 0.1).astype(np.float32)
-        #: Sums of squared slopes: one for each embedding and gate, one for each other parameter.
-        self.speed = [np.full((len(p), 1) if k < 2 else p.shape, CALM, np.float32) for k, p in enumerate(self.parameters())]
+        draw = lambda *shape: r.standard_normal(shape).astype(np.float32)
+        self.side, self.edge, self.base = side, vocabulary.edge, vocabulary.base
+        self.embed = draw(vocabulary.edge + 1, WIDTH) * np.float32(0.1)
+        self.node = [1 + draw(side**k, WIDTH) * np.float32(0.3) for k in range(LEVELS)]
+        self.scale = 1 + draw(len(_PLACES), WIDTH) * np.float32(0.3)
+        self.branch = [draw(WIDTH, side) * np.float32(0.1) for _ in range(LEVELS)]
+        #: Sums of squared slopes: one for each row of embeddings and nodes, one for each other parameter.
+        self.speed = [np.full((len(p), 1) if k <= LEVELS else p.shape, CALM, np.float32) for k, p in enumerate(self.parameters())]
 
     def parameters(self) -> list[np.ndarray]:
-        return [self.embed, self.gate, self.scale, self.top, self.bias, self.low]
+        return [self.embed, *self.node, self.scale, *self.branch]
 
     def flat(self) -> np.ndarray:
         """All that training changes, as one vector."""
@@ -149,16 +142,6 @@ class Network:
             at += p.size
         return self
 
-    def _bounds(self) -> tuple[float, float]:
-        """How far logits of either level can be from zero where it counts.
-
-        No part of ``h`` is over one.  In each level some entry has a frequency
-        of over ``exp(-6)``, and none is over one, but for a bias that was trained.
-        """
-        top = np.abs(self.top).sum(0).max() + max(6.0, abs(float(self.bias.max())))
-        low = np.abs(self.low).sum(0).max() * np.abs(self.gate).max() + 6.0
-        return float(top), float(low)
-
     def _hidden(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Embeddings of strips of tokens, and hidden layers of their inner positions."""
         inner = tokens.shape[1] - 2 * REACH
@@ -168,24 +151,33 @@ class Network:
             total += around[:, REACH + d : REACH + d + inner] * self.scale[k]
         return around, np.tanh(total, out=total).reshape(-1, WIDTH)
 
+    def _path(self, target: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The node and the branch of each target at each level."""
+        target = np.minimum(target, self.edge - 1)
+        out = []
+        for k in range(LEVELS):
+            node = target // self.side ** (LEVELS - k)
+            out.append((node, target // self.side ** (LEVELS - k - 1) - node * self.side))
+        return out
+
+    def _logits(self, k: int, gated: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Logits of the branches, small enough for exponentials."""
+        z = gated @ self.branch[k]
+        z += self.base[k][node]
+        # No part of h is over one, and some branch has a frequency of over exp(-6).
+        if not np.abs(self.branch[k]).sum(0).max() * np.abs(self.node[k]).max() < _SAFE:
+            z -= z.max(1, keepdims=True)
+        return z
+
     def log_probability(self, tokens: np.ndarray) -> np.ndarray:
         """For strips of tokens the log-probability of each inner one given those around it."""
-        top, low = self._bounds()
         _, hidden = self._hidden(tokens)
-        target = np.minimum(tokens[:, REACH:-REACH].ravel(), self.edge - 1)
-        c, s = target // self.side, target % self.side
-        at = np.arange(len(target))
-        z = hidden @ self.top + self.bias
-        if not top < _SAFE:
-            z -= z.max(1, keepdims=True)
-        out = z[at, c]
-        out -= np.log(_softmax(z, 0.0))
-        hidden *= self.gate[c]
-        z = hidden @ self.low + self.within[c]
-        if not low < _SAFE:
-            z -= z.max(1, keepdims=True)
-        out += z[at, s]
-        out -= np.log(_softmax(z, 0.0))
+        out = np.zeros(len(hidden), np.float32)
+        at = np.arange(len(hidden))
+        for k, (node, branch) in enumerate(self._path(tokens[:, REACH:-REACH].ravel())):
+            z = self._logits(k, hidden * self.node[k][node], node)
+            out += z[at, branch]
+            out -= np.log(np.exp(z, out=z).sum(1))
         return out
 
     def step(self, tokens: np.ndarray, skip: np.ndarray | bool = False, rate: float = RATE) -> int:
@@ -196,27 +188,21 @@ class Network:
         n = len(target) - len(none)
         if not n:
             return 0
-        target = np.minimum(target, self.edge - 1)
-        c, s = target // self.side, target % self.side
         at, share = np.arange(len(target)), np.float32(1 / n)
-        top, low = self._bounds()
         around, hidden = self._hidden(tokens)
-        first = hidden @ self.top
-        first += self.bias
-        first *= (share / _softmax(first, top))[:, None]
-        first[at, c] -= share
-        first[none] = 0
-        gate = self.gate[c]
-        gated = hidden * gate
-        second = gated @ self.low
-        second += self.within[c]
-        second *= (share / _softmax(second, low))[:, None]
-        second[at, s] -= share
-        second[none] = 0
-        back = second @ self.low.T
-        to_gate, to_low, to_top = back * hidden, gated.T @ second, hidden.T @ first
-        back *= gate
-        back += first @ self.top.T
+        back, moves = np.zeros_like(hidden), []
+        for k, (node, branch) in enumerate(self._path(target)):
+            gate = self.node[k][node]
+            gated = hidden * gate
+            error = self._logits(k, gated, node)
+            np.exp(error, out=error)
+            error *= (share / error.sum(1))[:, None]
+            error[at, branch] -= share
+            error[none] = 0
+            own = error @ self.branch[k].T
+            moves.append((gated.T @ error, node, own * hidden))
+            own *= gate
+            back += own
         hidden *= hidden
         back *= 1 - hidden
         back = back.reshape(rows, inner, WIDTH)
@@ -226,12 +212,16 @@ class Network:
             to_scale[k] = np.einsum("ijk,ijk->k", around[:, part], back)
             to_embed[:, part] += back * self.scale[k]
         self._move_rows(0, tokens.ravel(), to_embed.reshape(-1, WIDTH), rate, n)
-        self._move_rows(1, c, to_gate, rate, n)
-        for k, slope in ((2, to_scale), (3, to_top), (4, first.sum(0)), (5, to_low)):
-            self.speed[k] += slope * slope
-            self.parameters()[k][...] -= rate * slope / np.sqrt(self.speed[k])
+        self._move(LEVELS + 1, to_scale, rate)
+        for k, (slope, node, slopes) in enumerate(moves):
+            self._move(LEVELS + 2 + k, slope, rate)
+            self._move_rows(1 + k, node, slopes, rate, n)
         return n
 
+    def _move(self, k: int, slope: np.ndarray, rate: float) -> None:
+        self.speed[k] += slope * slope
+        self.parameters()[k][...] -= rate * slope / np.sqrt(self.speed[k])
+
     def _move_rows(self, k: int, rows: np.ndarray, slopes: np.ndarray, rate: float, n: int) -> None:
         """Moves those rows of a parameter that took part, by the sum of their slopes."""
         order = np.argsort(rows.astype(np.uint16) if self.edge < 1 << 16 else rows, kind="stable")
