@@ -166,7 +166,7 @@ SQL_OP2 = _sql_op2(mixing.Mixture())
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every text: base spans, and all spans that the method finds."""
-    found = pii.tag(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.tag(_table(spark, sf_dir, "documents").select("doc_id", "text"), keep=("doc_id",))
     base = F.filter("spans", lambda x: x["base"])
     of = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind))
     counts = [of(k).cast("long").alias(f"n_{k}") for k in pii.KINDS[: pii.BASE]]
