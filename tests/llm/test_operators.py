@@ -127,6 +127,18 @@ def test_mixing(spark):
     assert mixing.probabilities(docs.limit(0)).count() == 0
 
 
+def test_small_parts_and_clashing_names(spark):
+    docs = docs_for_mixing(spark).withColumn("topic", F.lit("own")).withColumn("row", F.lit(1)).withColumn("probability", F.lit("x"))
+    docs = docs.union(docs.where("doc_id = 7"))
+    got = mixing.probabilities(docs, mixing.Mixture(part=4e-7), keep=("doc_id", "source", "topic", "probability")).toPandas()
+    n, p = got.n_tokens.to_numpy(float), got.probability.to_numpy(float)
+    assert (p[n > 0] > 0).all() and (n * p).sum() == pytest.approx(4e-7 * n.sum(), rel=1e-6)
+    assert got.row[0].topic == "own" and len(got) == 3003
+    long = docs.limit(1).withColumn("text", F.repeat(F.lit("word "), 400_000))
+    kept = mixing.mixed(docs.union(long), mixing.Mixture(part=1.0))
+    assert kept.columns == docs.columns and kept.count() == 3002
+
+
 # --- 3
 
 

@@ -117,12 +117,12 @@ def calibrated(cells: DataFrame, mixture: Mixture) -> DataFrame:
         if not free or count == capped:
             break
         scale, capped = max(0.0, mixture.part * tokens - full) / free, count
-    return cells.withColumn("probability", F.round(F.least(F.lit(1.0), F.col("rate") * F.lit(scale)), 6)).drop("rate")
+    return cells.withColumn("probability", F.least(F.lit(1.0), F.col("rate") * F.lit(scale))).drop("rate")
 
 
-def _drawn(rows: DataFrame, narrow: DataFrame, mixture: Mixture) -> DataFrame:
-    """Measured rows with probability and kept; cells are counted over ``narrow``."""
-    cells = written(narrow.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
+def _drawn(rows: DataFrame, mixture: Mixture) -> DataFrame:
+    """Measured rows, written, with probability and kept."""
+    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")))
     odds = written(calibrated(raked(cells, mixture), mixture).select(*DIMENSIONS, "probability"))
     if odds.count() <= SMALL:
         odds = F.broadcast(odds)
@@ -139,11 +139,14 @@ def probabilities(docs: DataFrame, mixture: Mixture | None = None, id_col: str =
     never kept.  Rows that share an id share their draw.  An empty table gives an
     empty table.  Texts are read once.
     """
-    rows = written(measured(docs, id_col, text_col, topic_col, [id_col, *keep]))
-    return _drawn(rows, rows, mixture or Mixture())
+    return _drawn(written(measured(docs, id_col, text_col, topic_col, [id_col, *(c for c in keep if c != id_col)])), mixture or Mixture())
 
 
 def mixed(docs: DataFrame, mixture: Mixture | None = None, id_col: str = "doc_id", text_col: str = "text", topic_col: str | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with the same columns."""
-    rows = measured(docs, id_col, text_col, topic_col, docs.columns)
-    return _drawn(rows, rows.drop("row"), mixture or Mixture()).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, with the same columns.
+
+    Nulls, empty texts, rows that share an id and empty tables are treated as
+    in ``probabilities``; repeated rows stay or go together.  Texts are read once:
+    rows are written with their measures, and those drawn are taken from there.
+    """
+    return _drawn(written(measured(docs, id_col, text_col, topic_col, docs.columns)), mixture or Mixture()).where("kept").select("row.*")

@@ -66,7 +66,7 @@ START = {
 }
 HELD, BALANCE = 20.0, 0.5
 #: Classes of the word before a span; rounds of training, step size and decay.
-WORDS, ROUNDS, RATE, DECAY = 32, 25, 1.0, 1e-3
+WORDS, ROUNDS, RATE, DECAY = 32, 15, 1.0, 1e-3
 #: Code points of a block of text that pieces are taken from.
 BLOCK = 1024
 
@@ -180,9 +180,11 @@ def candidates(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] |
     value, left, right = F.col("value"), F.col("before"), F.col("after")
     valid = F.when(F.col("order") < BASE, _by_kind(lambda k: _valid(k, value))).otherwise(False)
     spans = spans.select("place", (end - F.length("value")).alias("start"), "order", _by_kind(F.lit).alias("kind"), end.alias("end"), valid.alias("base"), _by_kind(lambda k: _votes(k, value, left, right)).alias("votes"), "value", "before", "after")
-    line = Window.partitionBy("place").orderBy("start", "order")
-    reach = F.max(F.when(F.col("base"), F.col("end"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    # Both frames grow by a row at a time; one that shrinks would cost the square of the spans of a text.
+    onward = Window.partitionBy("place").orderBy("start", "order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    backward = Window.partitionBy("place").orderBy(F.desc("start"), F.desc("order")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("base"), F.col("end"))).over(onward)
+    ahead = F.min(F.when(F.col("base"), F.col("start"))).over(backward)
     met = (F.coalesce(reach, F.lit(-1)) > F.col("start")) | (F.coalesce(ahead, F.col("end")) < F.col("end"))
     spans = spans.withColumn("met", met).where("base or not met")
     spans = spans.select("place", "start", "order", "kind", "end", "base", F.concat("kind", F.lit(":"), "votes").alias("votes"), _features(value, left, right).alias("features"))

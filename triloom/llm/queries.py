@@ -129,7 +129,7 @@ SELECT m.id AS vec_id, coalesce(n.n, 0)::BIGINT AS n_links, m.component_id, m.co
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The calibrated probability of every document, and whether it is drawn."""
     found = mixing.probabilities(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
-    return found.select("row.doc_id", "source", "lang", "topic", "n_tokens", "probability", "kept")
+    return found.select("row.doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "kept")
 
 
 def _sql_op2(mixture: mixing.Mixture) -> str:
@@ -155,9 +155,9 @@ WITH d AS (
 ]+'))::BIGINT AS n_tokens FROM (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents)
 ), c AS (SELECT source, lang, topic, sum(n_tokens) AS tokens FROM d GROUP BY 1, 2, 3 HAVING sum(n_tokens) > 0
 ), c0 AS (SELECT *, tokens / sum(tokens) OVER () AS weight FROM c), {", ".join(steps)
-}, p AS (SELECT source, lang, topic, round(least(1.0, weight / tokens * scale), 6) AS probability FROM {last}, s{mixture.calibrations}
+}, p AS (SELECT source, lang, topic, least(1.0, weight / tokens * scale) AS probability FROM {last}, s{mixture.calibrations}
 ), r AS (SELECT d.*, CASE WHEN n_tokens > 0 THEN coalesce(probability, 0) ELSE 0 END AS probability FROM d LEFT JOIN p USING (source, lang, topic))
-SELECT *, ('0x' || substr(md5('{mixture.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < probability AS kept FROM r
+SELECT * REPLACE (round(probability, 6) AS probability), ('0x' || substr(md5('{mixture.seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT / 281474976710656.0 < probability AS kept FROM r
 """
 
 
