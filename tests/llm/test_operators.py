@@ -264,18 +264,35 @@ def test_tool_calls_are_linked_and_ordered(spark):
         (None, None, None, None),
     ]
     turns = table(spark, rows, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.segment): r for r in chat.format_chats(turns, {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}}).collect()}
-    first = got[1, 0]
-    assert (first.n_messages, first.n_calls, first.n_linked, first.n_unanswered, first.n_orphans, first.n_invalid) == (3, 3, 2, 1, 1, 2)
+    made = chat.format_chats(turns, {"f": {"type": "object", "properties": {"n": {"type": "integer"}}}})
+    got = {r.conv_id: r for r in made.collect()}
+    first = got[1]
+    assert (first.n_messages, first.n_calls, first.n_linked, first.n_unanswered, first.n_orphans, first.n_repeats, first.n_invalid) == (4, 3, 2, 1, 1, 1, 2)
     made = json.loads(first.chat)
     assert [c["id"] for c in made["tool_calls"]] == ["a", "b", "c"]
-    assert made["tool_calls"][0]["result"] == {"y": 2, "z": 1} and made["tool_calls"][1]["result"] == "again"
+    assert made["tool_calls"][0]["result"] == {"y": 2, "z": 1} and made["tool_calls"][1]["result"] == "later"
+    assert made["repeats"] == [{"id": "b", "content": "again", "turn": 2}]
     assert made["messages"][0]["content"] == "hi é" and first.chat == chat.canonical(made)
-    assert json.loads(got[2, 0].chat)["messages"][0]["content"] == "<tool_call>not json</tool_call>"
-    assert got[1, 2].n_messages == 1 and got[None, 0].n_messages == 1
+    assert json.loads(got[2].chat)["messages"][0]["content"] == "<tool_call>not json</tool_call>"
+    assert got[None].n_messages == 1
     assert chat.format_chats(turns.limit(0)).count() == 0
 
 
+def test_a_long_conversation_is_one_ordered_row(spark):
+    call = lambda **x: f"<tool_call>{json.dumps(x)}</tool_call>"
+    rows = [(1, t, "assistant", call(id=f"c{t}", name="respond", arguments={}, after=[f"c{t + 1}"] if t < 599 else [])) for t in range(600)]
+    rows += [(1, 0, "tool", "<tool_result>" + json.dumps({"id": "c300", "content": "x" * 200_000}) + "</tool_result>")] * 3
+    rows += [(None, 1, "user", "alone")] * 2 + [(2, None, None, "word " * 100_000)]
+    turns = table(spark, [(*r, "k", "z") for r in rows], "conv_id long, turn long, role string, text string, id string, body string").repartition(5)
+    got = chat.format_chats(turns).collect()
+    assert sorted((r.conv_id or 0, r.n_messages) for r in got) == [(0, 1), (0, 1), (1, 603), (2, 1)]
+    (one,) = [r for r in got if r.conv_id == 1]
+    made = json.loads(one.chat)
+    assert [c["id"] for c in made["tool_calls"]] == [f"c{t}" for t in range(599, -1, -1)]
+    assert (one.n_calls, one.n_linked, one.n_repeats, one.n_orphans, len(made["repeats"])) == (600, 1, 2, 0, 2)
+    assert [m["turn"] for m in made["messages"]] == sorted(m["turn"] for m in made["messages"])
+
+
 def test_cycles_keep_their_order():
     calls = [{"id": "x", "after": ["y"]}, {"id": "y", "after": ["x"]}, {"id": "z", "after": []}]
     assert [c["id"] for c in chat.topological(calls)] == ["z", "x", "y"]

@@ -9,8 +9,9 @@ topologically (a call stands after the calls it refers to), their arguments
 validated against JSON schemas, and each conversation is written as canonical
 JSON: keys sorted, no spaces, non-ASCII characters as they are.
 
-A conversation of any length is written in segments of ``SEGMENT`` turns, so no
-task holds an unbounded group; links reach across segments.
+A conversation is one row, so one task holds one conversation at a time, as its
+row does; messages without a conversation are rows of their own.  Links between
+calls and results are made by joins before that.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns of a segment.
-SEGMENT = 256
+from .store import small_batches, written
+
 _MARKED = re.compile(r"<tool_(call|result)>(.*?)</tool_\1>", re.S)
 #: Name, and JSON schema of the arguments.
 TOOLS = {"respond": {"type": "object", "required": ["turn", "words"], "properties": {"turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "minimum": 1}}, "additionalProperties": False}}
@@ -123,55 +124,57 @@ def topological(calls: list[dict]) -> list[dict]:
 
 
 def _events(tools: dict, implicit: str | None):
-    """Rows (conv, turn, role, text): their plain text, calls and results as JSON lists."""
+    """Rows (conv, turn, role, text, place): their plain text, calls and results as JSON lists with the ids apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            plain, calls, results = [], [], []
+            plain, found = [], []
             for turn, role, text in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                rest, c, r = parse(role, text)
+                rest, calls, results = parse(role, text)
                 if implicit and turn is not None:
                     if role == "user":
-                        c.append({"id": f"turn-{turn}", "name": implicit, "arguments": {"turn": turn, "words": len(rest.split())}, "after": [f"turn-{turn - 2}"]})
+                        calls.append({"id": f"turn-{turn}", "name": implicit, "arguments": {"turn": turn, "words": len(rest.split())}, "after": [f"turn-{turn - 2}"]})
                     elif role == "assistant":
-                        r.append({"id": f"turn-{turn - 1}", "content": f"turn {turn}"})
-                for x in c:
+                        results.append({"id": f"turn-{turn - 1}", "content": f"turn {turn}"})
+                for x in calls:
                     x["errors"] = violations(x["arguments"], tools[x["name"]]) if x["name"] in tools else ["$: unknown tool"]
                 plain.append(rest)
-                calls.append([canonical(x) for x in c])
-                results.append([canonical(x) for x in r])
-            lists = [pa.array(x, pa.list_(pa.string())) for x in (calls, results)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(plain, pa.string()), *lists], names=["conv", "turn", "role", "plain", "calls", "results"])
+                found.append([{"call": kind, "id": x["id"], "body": canonical(x)} for kind, list_ in ((True, calls), (False, results)) for x in list_])
+            kind = pa.list_(pa.struct([("call", pa.bool_()), ("id", pa.string()), ("body", pa.string())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(plain, pa.string()), pa.array(found, kind)], names=["conv", "turn", "role", "place", "plain", "found"])
 
     return run
 
 
+_SCHEMA = "conv_id long, n_messages long, n_calls long, n_linked long, n_unanswered long, n_orphans long, n_repeats long, n_invalid long, chat string"
+
+
 def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (conv, segment, turn, role, plain, kind, body, answer) in order: one row for each segment."""
-    kind = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), *((n, pa.int64()) for n in ("n_messages", "n_calls", "n_linked", "n_unanswered", "n_orphans", "n_invalid")), ("chat", pa.string())])
+    """Rows (conv, lone, turn, kind, role, plain, body, answer) in order: one row for each conversation."""
+    names = [x.split()[0] for x in _SCHEMA.split(", ")]
     held, at = [], None
 
     def done() -> dict:
-        messages, calls, results = [], [], []
-        for turn, role, plain, what, body, answer in held:
+        messages, calls, orphans, repeats = [], [], [], []
+        for turn, what, role, plain, body, answer in held:
             if what == "message":
                 messages.append({"content": plain, "role": role, "turn": turn})
             elif what == "call":
                 calls.append(json.loads(body) | {"turn": turn, "result": json.loads(answer)["content"] if answer else None, "answered": answer is not None})
             else:
-                results.append(json.loads(body) | {"turn": turn})
+                (orphans if what == "orphan" else repeats).append(json.loads(body) | {"turn": turn})
         linked = sum(c["answered"] for c in calls)
-        invalid = sum(bool(c["errors"]) for c in calls)
-        chat = canonical({"conversation": at[0], "messages": messages, "orphans": results, "segment": at[1], "tool_calls": topological(calls)})
-        return {"conv_id": at[0], "segment": at[1], "n_messages": len(messages), "n_calls": len(calls), "n_linked": linked, "n_unanswered": len(calls) - linked, "n_orphans": len(results), "n_invalid": invalid, "chat": chat}
+        chat = canonical({"conversation": at[0], "messages": messages, "orphans": orphans, "repeats": repeats, "tool_calls": topological(calls)})
+        return dict(zip(names, (at[0], len(messages), len(calls), linked, len(calls) - linked, len(orphans), len(repeats), sum(bool(c["errors"]) for c in calls), chat), strict=True))
 
+    kind = pa.schema([(n, pa.string() if n == "chat" else pa.int64()) for n in names])
     for batch in batches:
         out = []
-        for conv, segment, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if (conv, segment) != at:
+        for conv, lone, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (conv, lone) != at:
                 if held:
                     out.append(done())
-                held, at = [], (conv, segment)
+                held, at = [], (conv, lone)
             held.append(rest)
         yield pa.RecordBatch.from_pylist(out, kind)
     if held:
@@ -179,29 +182,30 @@ def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def format_chats(turns: DataFrame, tools: dict | None = None, implicit: str | None = None) -> DataFrame:
-    """One row for each conversation and segment: counts, and chat, its canonical JSON.
-
-    ``turns`` has conv_id, turn, role and text.  Of several calls with one
-    identifier in a conversation each gets the answer; of several results the
-    first (by turn, then content) answers.  A result whose call isn't there is an
-    orphan, a call without result is unanswered (its result is null), and a call
-    whose arguments break its tool's schema, or whose tool isn't known, is
-    invalid; all are kept.  A null text is an empty message; a null turn stands
-    first; rows with a null conv_id form a conversation of their own without
-    links.  Repeated rows stay.  An empty table gives an empty table.
+    """One row for each conversation: counts, and chat, its canonical JSON.
+
+    ``turns`` has conv_id, turn, role and text; other columns aren't read.  Of
+    several calls with one identifier in a conversation each gets the answer; of
+    several results the first (by turn, place in its message, then content)
+    answers, and the others are listed as repeats.  A result whose call isn't
+    there is an orphan, a call without result is unanswered (its result is null),
+    and a call whose arguments break its tool's schema, or whose tool isn't known,
+    is invalid; all are kept.  Calls are ordered over the whole conversation.  A
+    null text is an empty message; a null turn stands first; a row with a null
+    conv_id is a conversation of its own without links.  Repeated rows stay.  An
+    empty table gives an empty table.
     """
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    events = rows.mapInArrow(_events(tools or TOOLS, implicit), "conv long, turn long, role string, plain string, calls array<string>, results array<string>")
-    segment = F.floor(F.coalesce("turn", F.lit(0)) / SEGMENT).alias("segment")
-    base = ["conv", segment, "turn"]
-    one = F.lit(None).cast("string")
-    messages = events.select(*base, "role", "plain", F.lit("message").alias("kind"), one.alias("body"), one.alias("answer"))
-    calls = events.select(*base, F.explode("calls").alias("body")).withColumn("id", F.get_json_object("body", "$.id"))
-    results = events.select(*base, F.explode("results").alias("body")).withColumn("id", F.get_json_object("body", "$.id"))
-    first = results.groupBy("conv", "id").agg(F.min(F.struct("turn", "body")).alias("first")).select("conv", "id", F.col("first.body").alias("answer"))
-    linked = calls.join(first, ["conv", "id"], "left").select("conv", "segment", "turn", one.alias("role"), one.alias("plain"), F.lit("call").alias("kind"), "body", "answer")
-    lone = results.join(calls.select("conv", "id").distinct(), ["conv", "id"], "left_anti").select("conv", "segment", "turn", one.alias("role"), one.alias("plain"), F.lit("result").alias("kind"), "body", one.alias("answer"))
-    every = messages.union(linked).union(lone)
-    ordered = every.repartition("conv", "segment").sortWithinPartitions("conv", "segment", "turn", "kind", "role", "plain", "body")
-    schema = "conv_id long, segment long, n_messages long, n_calls long, n_linked long, n_unanswered long, n_orphans long, n_invalid long, chat string"
-    return ordered.mapInArrow(_assemble, schema)
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
+    events = written(small_batches(rows).mapInArrow(_events(tools or TOOLS, implicit), "conv long, turn long, role string, place long, plain string, found array<struct<call:boolean,id:string,body:string>>"))
+    none = F.lit(None).cast("string")
+    lone = F.when(F.col("conv").isNull(), F.col("place")).alias("lone")
+    messages = events.select("conv", lone, "turn", F.lit("message").alias("kind"), F.lit(0).alias("pos"), "role", "plain", none.alias("body"), none.alias("answer"))
+    found = events.select("conv", "turn", "place", F.posexplode("found").alias("pos", "x")).select("conv", lone, "turn", "place", "pos", "x.*")
+    first = F.min(F.when(~F.col("call"), F.struct("turn", "pos", "body", "place"))).alias("first")
+    links = found.where("conv is not null").groupBy("conv", "id").agg(first, F.max("call").alias("called"))
+    met = found.join(links.hint("shuffle_hash"), ["conv", "id"], "left")
+    answers = (F.col("first.place") == F.col("place")) & (F.col("first.pos") == F.col("pos"))
+    kind = F.when(F.col("call"), "call").when(F.col("called"), F.when(~answers, "repeat")).otherwise("orphan").alias("kind")
+    met = met.select("conv", "lone", "turn", kind, "pos", none.alias("role"), none.alias("plain"), "body", F.when(F.col("call"), F.col("first.body")).alias("answer")).where("kind is not null")
+    ordered = messages.union(met).repartition("conv", "lone").sortWithinPartitions("conv", "lone", "turn", "kind", "pos", "role", "plain", "body")
+    return ordered.drop("pos").mapInArrow(_assemble, _SCHEMA)

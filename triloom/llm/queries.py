@@ -179,23 +179,24 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL_OP5 = r"""
-WITH t AS (SELECT conv_id, turn, turn // 256 AS segment, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations
+WITH t AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, len(regexp_extract_all(coalesce(text, ''), '\S+')) AS words FROM conversations
 ), m AS (
-  SELECT conv_id, segment, count(*) AS n, string_agg('{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}', ',' ORDER BY turn) AS list FROM t GROUP BY 1, 2
+  SELECT conv_id, count(*) AS n, string_agg('{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR || ',"turn":' || turn || '}', ',' ORDER BY turn) AS list FROM t GROUP BY 1
 ), a AS (SELECT DISTINCT conv_id, turn - 1 AS turn FROM t WHERE role = 'assistant'
 ), u AS (SELECT DISTINCT conv_id, turn FROM t WHERE role = 'user'
 ), c AS (SELECT t.*, a.turn IS NOT NULL AS answered FROM t LEFT JOIN a USING (conv_id, turn) WHERE role = 'user'
 ), k AS (
-  SELECT conv_id, segment, count(*) AS n, sum(answered::INT) AS linked, sum((words < 1)::INT) AS invalid, string_agg('{"after":["turn-' || (turn - 2) || '"],"answered":' || answered || ',"arguments":{"turn":' || turn || ',"words":' || words || '},"errors":[' ||
+  SELECT conv_id, count(*) AS n, sum(answered::INT) AS linked, sum((words < 1)::INT) AS invalid, string_agg('{"after":["turn-' || (turn - 2) || '"],"answered":' || answered || ',"arguments":{"turn":' || turn || ',"words":' || words || '},"errors":[' ||
     CASE WHEN words < 1 THEN '"$.words: out of bounds"' ELSE '' END || '],"id":"turn-' || turn || '","name":"respond","result":' || CASE WHEN answered THEN '"turn ' || (turn + 1) || '"' ELSE 'null' END || ',"turn":' || turn || '}', ',' ORDER BY turn) AS list
-  FROM c GROUP BY 1, 2
-), o AS (
-  SELECT t.conv_id, t.segment, count(*) AS n, string_agg('{"content":"turn ' || t.turn || '","id":"turn-' || (t.turn - 1) || '","turn":' || t.turn || '}', ',' ORDER BY t.turn) AS list
-  FROM t LEFT JOIN u ON u.conv_id = t.conv_id AND u.turn = t.turn - 1 WHERE t.role = 'assistant' AND u.turn IS NULL GROUP BY 1, 2
-)
-SELECT m.conv_id, m.segment, m.n AS n_messages, coalesce(k.n, 0) AS n_calls, coalesce(k.linked, 0)::BIGINT AS n_linked, coalesce(k.n - k.linked, 0)::BIGINT AS n_unanswered, coalesce(o.n, 0) AS n_orphans, coalesce(k.invalid, 0)::BIGINT AS n_invalid,
-  '{"conversation":' || m.conv_id || ',"messages":[' || m.list || '],"orphans":[' || coalesce(o.list, '') || '],"segment":' || m.segment || ',"tool_calls":[' || coalesce(k.list, '') || ']}' AS chat
-FROM m LEFT JOIN k USING (conv_id, segment) LEFT JOIN o USING (conv_id, segment)
+  FROM c GROUP BY 1
+), x AS (
+  SELECT t.conv_id, t.turn, u.turn IS NULL AS orphan, row_number() OVER (PARTITION BY t.conv_id, t.turn) AS k, '{"content":"turn ' || t.turn || '","id":"turn-' || (t.turn - 1) || '","turn":' || t.turn || '}' AS item
+  FROM t LEFT JOIN u ON u.conv_id = t.conv_id AND u.turn = t.turn - 1 WHERE t.role = 'assistant'
+), o AS (SELECT conv_id, count(*) AS n, string_agg(item, ',' ORDER BY turn) AS list FROM x WHERE orphan GROUP BY 1
+), e AS (SELECT conv_id, count(*) AS n, string_agg(item, ',' ORDER BY turn) AS list FROM x WHERE NOT orphan AND k > 1 GROUP BY 1)
+SELECT m.conv_id, m.n AS n_messages, coalesce(k.n, 0) AS n_calls, coalesce(k.linked, 0)::BIGINT AS n_linked, coalesce(k.n - k.linked, 0)::BIGINT AS n_unanswered, coalesce(o.n, 0) AS n_orphans, coalesce(e.n, 0) AS n_repeats, coalesce(k.invalid, 0)::BIGINT AS n_invalid,
+  '{"conversation":' || m.conv_id || ',"messages":[' || m.list || '],"orphans":[' || coalesce(o.list, '') || '],"repeats":[' || coalesce(e.list, '') || '],"tool_calls":[' || coalesce(k.list, '') || ']}' AS chat
+FROM m LEFT JOIN k USING (conv_id) LEFT JOIN o USING (conv_id) LEFT JOIN e USING (conv_id)
 """
 
 
