@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import time
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
@@ -174,6 +176,75 @@ def test_forward_sums_all_segmentations():
         assert counts[k] == pytest.approx(slope, abs=1e-4), x
 
 
+def plain_score(word, pieces, table_):
+    """The log of the sum over all segmentations of a marked word, by a loop with exact numbers."""
+    number = {x: k for k, x in enumerate(pieces.pieces)}
+    out = []
+    for lang in range(table_.shape[1]):
+        sums = [Fraction(1)]
+        for i in range(1, len(word) + 1):
+            total = Fraction(0)
+            for size in range(1, min(i, pieces.longest) + 1):
+                k = number.get(word[i - size : i], len(number) + 1 if size == 1 else None)
+                if k is not None:
+                    total += sums[i - size] * Fraction(float(table_[k, lang]))
+            sums.append(total)
+        out.append(math.log(sums[-1].numerator) - math.log(sums[-1].denominator))
+    return out
+
+
+@pytest.mark.parametrize("size", [41, 90, 10_000])
+def test_words_of_any_length_are_scored_whole(size):
+    pieces = langid.Pieces(["▁a", "▁ab", "b", "a", "ab", "c", "▁", "bc", "abcab"])
+    table_ = langid._table(np.round(np.random.default_rng(0).random((len(pieces.pieces), 2)) * 1024) / 4096)
+    table_[-1] = 2.0**-20
+    rnd = random.Random(3)
+    word = "".join(rnd.choice("abcabcz") for _ in range(size))
+    scorer = langid.Scorer(pieces, langid.Model(["x", "y"], table_))
+    got, words = scorer.texts([word, "ab", word + "1"])
+    assert words.tolist() == [1, 1, 1]
+    if size > 1000:
+        # In floating point with a scale, place by place.
+        number = {x: k for k, x in enumerate(pieces.pieces)}
+        want = []
+        for lang in range(2):
+            sums, scale = [1.0], 0.0
+            marked = "▁" + word
+            for i in range(1, len(marked) + 1):
+                total = 0.0
+                for n in range(1, min(i, pieces.longest) + 1):
+                    k = number.get(marked[i - n : i], len(number) + 1 if n == 1 else None)
+                    if k is not None:
+                        total += sums[-n] * table_[k, lang]
+                sums = [*sums[-pieces.longest :], total]
+                if total < 1e-100:
+                    sums, scale = [x * 1e100 for x in sums], scale - 100 * math.log(10)
+            want.append(math.log(sums[-1]) + scale)
+    else:
+        want = plain_score("▁" + word, pieces, table_)
+    assert np.allclose(got[0], want, rtol=1e-5) and np.allclose(got[2], want, rtol=1e-5)
+    one = langid.LongWord(pieces, np.array([ord(c) for c in "▁" + word[:60]]))
+    many = langid.Lattice(pieces, np.array([ord(c) for c in "▁" + word[:60]]), np.array([0]), np.array([len(word[:60]) + 1]))
+    assert np.allclose(one.expected(table_[:, [0]], 3.0), many.expected(table_[:, [0]], np.array([3.0])))
+
+
+def test_predictions_are_those_of_plain_sums(spark):
+    pieces = langid._vocabulary(MODEL)
+    r = np.random.default_rng(4)
+    model = langid.Model(["de", "en", "fr"], langid._table(r.dirichlet(np.full(len(pieces.pieces), 0.5), 3).T))
+    texts = ["Hello wörld", "one two, Two", "x" * 60 + " y", "", None, "123", "日本 語"]
+    docs = table(spark, [(i, t, "en", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, lang_pred string, score double")
+    got = {x.row.doc_id: x for x in langid.predict(docs, model, MODEL).select("row", F.col("lang_pred"), F.col("score")).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not words:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        total = np.sum([plain_score("▁" + w, pieces, model.table) for w in words], 0)
+        assert got[i].lang_pred == model.languages[int(total.argmax())]
+        assert got[i].score == pytest.approx(1 / np.exp(total - total.max()).sum(), rel=1e-3)
+
+
 def test_language_accuracy_and_odd_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0

@@ -8,7 +8,8 @@ forward-backward counts, from a prior that falls with a piece's rank.
 
 A text is the sequence of its words (runs of letters, each with the mark of a
 word's begin); equal words of a batch are scored once, all of a batch side by
-side.  A run of over ``LONGEST`` letters is several words.
+side.  A word of over ``LONGEST`` letters goes through the same sums by itself, in
+logarithms, so that words of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from .store import small_batches
 from .text import _power_tables, mix, slices
 
 MARK = 0x2581
+#: Letters of the words that are scored side by side; sums over longer ones would underflow.
 LONGEST = 40
 #: Letters of a batch, and words a worker remembers (times languages).
 CHUNK, REMEMBERED = 1 << 20, 1 << 22
@@ -150,6 +152,53 @@ class Lattice:
         return counts
 
 
+class LongWord:
+    """All segmentations of one word of any length, in logarithms."""
+
+    def __init__(self, pieces: Pieces, chars: np.ndarray):
+        n, none = len(chars), len(pieces.pieces)
+        total = _hashes(chars)
+        #: For each end, and each length of a last piece, the number of the piece.
+        self.found = np.full((n + 1, pieces.longest), none, np.int64)
+        for size in range(1, min(pieces.longest, n) + 1):
+            begin = np.arange(n - size + 1)
+            self.found[size:, size - 1] = pieces.find(_span(total, begin, begin + size))
+        self.found[1:, 0][self.found[1:, 0] == none] = none + 1
+        self.longest = pieces.longest
+
+    def _sums(self, log: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over segmentations up to each place; ``log`` has one row for each piece."""
+        out = np.full((len(self.found), log.shape[1]), -np.inf)
+        out[0] = 0.0
+        for i in range(1, len(out)):
+            size = min(i, self.longest)
+            out[i] = np.logaddexp.reduce(out[i - size : i][::-1] + log[self.found[i, :size]])
+        return out
+
+    def score(self, table: np.ndarray) -> np.ndarray:
+        """The logarithm of the sum over all segmentations, for each language."""
+        with np.errstate(divide="ignore"):
+            return self._sums(np.log(table))[-1]
+
+    def expected(self, table: np.ndarray, times: float) -> np.ndarray:
+        """Expected counts of pieces; table has one column."""
+        with np.errstate(divide="ignore"):
+            log = np.log(table)
+        ahead = self._sums(log)[:, 0]
+        n = len(ahead) - 1
+        behind = np.full(n + 1, -np.inf)
+        behind[n] = 0.0
+        counts = np.zeros(len(table))
+        for i in range(n, 0, -1):
+            size = min(i, self.longest)
+            found = self.found[i, :size]
+            begin = np.arange(i - 1, i - 1 - size, -1)
+            arc = log[found, 0] + behind[i]
+            behind[begin] = np.logaddexp(behind[begin], arc)
+            np.add.at(counts, found, times * np.exp(ahead[begin] + arc - ahead[n]))
+        return counts
+
+
 @dataclass
 class Model:
     """Probabilities of pieces by language; the two last rows are no piece and unknown letters."""
@@ -174,11 +223,6 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     edge[edges] = True
     start = np.flatnonzero((inside[1:] & (~inside[:-1] | edge))[:-1])
     end = np.flatnonzero(inside[:-1] & (~inside[1:] | edge))
-    long = np.flatnonzero(end - start > LONGEST)
-    if len(long):
-        cuts = [np.arange(s + LONGEST, e, LONGEST) for s, e in zip(start[long], end[long], strict=True)]
-        more = np.concatenate(cuts)
-        start, end = np.sort(np.concatenate([start, more])), np.sort(np.concatenate([end, more]))
     return chars, start, end, np.searchsorted(edges, start, "right") - 1
 
 
@@ -224,10 +268,12 @@ def _learn(path: str, model: Model | None, languages: list[str]):
                     if not len(mine):
                         continue
                     _, first, times = np.unique(h[mine], return_index=True, return_counts=True)
-                    held = mine[first]
-                    lattice = Lattice(pieces, *_marked(chars, start[held], end[held]))
+                    held, long = mine[first], (end - start)[mine[first]] > LONGEST
+                    lattice = Lattice(pieces, *_marked(chars, start[held[~long]], end[held[~long]]))
                     table = _table(pieces.prior()) if model is None else model.table[:, [languages.index(lang)]]
-                    counts[lang] = counts.get(lang, 0) + lattice.expected(table, times)
+                    counts[lang] = counts.get(lang, 0) + lattice.expected(table, times[~long])
+                    for k, n in zip(held[long], times[long], strict=True):
+                        counts[lang] += LongWord(pieces, _marked(chars, start[[k]], end[[k]])[0]).expected(table, n)
         for lang, n in counts.items():
             at = np.flatnonzero(n[: len(pieces.pieces)] > 0)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "piece", "n"])
@@ -284,8 +330,13 @@ class Scorer:
             scores[~fresh] = self._score[at[~fresh]]
         if fresh.any():
             held = first[fresh]
-            lattice = Lattice(self.pieces, *_marked(chars, start[held], end[held]))
-            scores[fresh] = np.log(np.maximum(lattice.forward(self.model.table)[1], 1e-300))
+            long = end[held] - start[held] > LONGEST
+            lattice = Lattice(self.pieces, *_marked(chars, start[held[~long]], end[held[~long]]))
+            made = np.empty((len(held), scores.shape[1]))
+            made[~long] = np.log(np.maximum(lattice.forward(self.model.table)[1], 1e-300))
+            for k in np.flatnonzero(long):
+                made[k] = LongWord(self.pieces, _marked(chars, start[held[[k]]], end[held[[k]]])[0]).score(self.model.table)
+            scores[fresh] = made
             if len(self._hash) * max(1, scores.shape[1]) > REMEMBERED:
                 self._hash, self._score = unique, scores
             else:
@@ -339,6 +390,11 @@ def predict(docs: DataFrame, model: Model, vocabulary: str, text_col: str = "tex
 
 
 def keep_known(docs: DataFrame, vocabulary: str, least: float = 0.5, per_language: int = 3000) -> DataFrame:
-    """``docs`` without rows whose language is undetermined or less likely than ``least``."""
+    """``docs`` without rows whose language is undetermined or less likely than ``least``.
+
+    Null and empty texts, and texts without letters, are undetermined.  Repeated
+    rows go or stay together, other columns are left as they are, and an empty
+    table gives an empty table.  Without any labelled row all rows go.
+    """
     found = predict(docs, fit(docs, vocabulary, per_language=per_language), vocabulary)
     return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
