@@ -396,10 +396,27 @@ def test_state_maps_compose_in_any_order():
         whole = counter.texts([text])[0]
         assert all(counter.long_text(text, k) == whole for k in (1, 2, 5, 50))
         chars = tokencount._characters([text])[0]
-        maps = [counter.chunk(chars[k : k + 3], int(chars[k - 1]) if k else 0) for k in range(0, len(chars), 3)]
+        maps = [{s: (e, n) for s, e, n in counter.state_map(chars[k : k + 3], chars[max(0, k - 64) : k])} for k in range(0, len(chars), 3)]
         while len(maps) > 1:
-            maps = [maps[k].then(counter.machine, maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-        assert tokencount.StateMap([], 0, 0).then(counter.machine, maps[0]).count == whole
+            join = lambda a, b: {s: (b[e][0], n + b[e][1]) for s, (e, n) in a.items() if e in b}
+            maps = [join(maps[k], maps[k + 1]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+        assert [n for _, n in maps[0].values()] == [whole]
+
+
+@pytest.mark.parametrize("before", [64, 1])
+def test_long_texts_are_counted_in_chunks(spark, monkeypatch, before):
+    import sentencepiece
+
+    monkeypatch.setattr(tokencount, "CHUNK", 500)
+    monkeypatch.setattr(tokencount, "BEFORE", before)
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rnd = random.Random(66)
+    texts = ["a" * 1700, "ab" * 1300, " " * 1200, "the words of it " * 200, "".join(rnd.choice("etaoinsé日 ") for _ in range(4000)), "".join(rnd.choice("etaoins") for _ in range(4001)), "x" * 499 + " " + "y" * 501, None, "short"]
+    docs = table(spark, [(i, t, 1) for i, t in [*enumerate(texts), (3, texts[3])]], "doc_id long, text string, n_tokens int")
+    got = sorted((r.doc_id, r.n_bytes, r.n_tokens) for r in tokencount.token_counts(docs, MODEL).collect())
+    assert got == sorted((i, len((t or "").encode()), len(model.encode(t or ""))) for i, t in [*enumerate(texts), (3, texts[3])])
+    with pytest.raises(ValueError):
+        tokencount.token_counts(docs, MODEL, keep=("doc_id", "n_tokens"))
 
 
 # --- 7

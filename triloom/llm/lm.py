@@ -434,7 +434,7 @@ def _records(row, batch: int, part, n, log, raw: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([row, pa.array([batch] * len(row), pa.int64()), part, n, log, pa.array(raw, pa.binary())], names=["row", "batch", "part", "n_words", "log", "words"])
 
 
-def _score(held, shift: int):
+def _score(held, shift: int, together: int):
     """Rows (row, text, place): scores with all words of a bucket taken for one, and the words to look up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -458,7 +458,7 @@ def _score(held, shift: int):
                 lookup.rows.append((part.column(0), n, np.bincount(found.row, log, found.rows), np.searchsorted(found.row[far], np.arange(found.rows + 1))))
                 lookup.far.append(found.hash[far])
                 lookup.bytes += len(found.data) + 64 * found.rows
-                if lookup.bytes > LOOKUP:
+                if lookup.bytes > together:
                     yield from lookup.close()
         yield from lookup.close()
 
@@ -545,7 +545,7 @@ def score(docs: DataFrame, text_col: str = "text", learn: DataFrame | None = Non
     bits = (parts - 1).bit_length()
     rows = small_batches(docs).select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text_col).cast("string").alias("text"), F.monotonically_increasing_id().alias("place"))
     kind = rows.schema["row"].dataType.simpleString()
-    found = written(rows.mapInArrow(_score(held, 64 - bits), f"row {kind}, batch long, part int, n_words long, log double, words binary"))
+    found = written(rows.mapInArrow(_score(held, 64 - bits, LOOKUP), f"row {kind}, batch long, part int, n_words long, log double, words binary"))
     range_of = F.shiftrightunsigned("word", 64 - bits).cast("int") if bits else F.lit(0)
     asked = found.where("part is not null").select("part", "batch", F.lit(None).cast("long").alias("word"), F.lit(None).cast("long").alias("n"), "words")
     known = counts.select(range_of.alias("part"), F.lit(None).cast("long").alias("batch"), "word", "n", F.lit(None).cast("binary").alias("words"))

@@ -10,28 +10,33 @@ deterministic.  It is compiled lazily, transition by transition, and kept.
 
 A space before which no space stands resets the machine, as no piece has a
 space after another character.  Texts are cut there into units; the units of a
-batch run through the machine side by side.  A long text is cut into chunks at
-any place; each chunk gives a state map (what its head does to an incoming
-state, then a constant end state and count), and maps compose associatively in
-a prefix scan.
+batch run through the machine side by side.
+
+A text of over ``CHUNK`` characters becomes rows, one for each chunk, cut at any
+place.  All chunks run at once: each gives its state map, from every state that
+the characters before it may leave the machine in to the state at its end and the
+tokens counted between.  Maps compose associatively, so those of neighbours are
+joined by state, two by two, until one is left for each text.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import small_batches
+from .store import small_batches, written
 from .text import _power_tables, mix, slices
 
 SPACE = 0x2581
 #: Characters in a batch or chunk.
 CHUNK = 1 << 20
+#: Characters before a chunk that say which states it may begin in.
+BEFORE = 64
 #: Units that a worker remembers, and states that its machine keeps.
 REMEMBERED, STATES = 1 << 21, 150_000
 
@@ -128,6 +133,23 @@ class Transducer:
             total += delta
         return state, total
 
+    def name(self, state: int) -> str:
+        """What a state is, in words that mean the same in every worker."""
+        return json.dumps(self._states[state], ensure_ascii=False, separators=(",", ":"))
+
+    def entries(self, before: np.ndarray) -> list[int]:
+        """States that the machine may be in after some characters, whatever came before them."""
+        return sorted({self.run(before[k:])[0] for k in range(len(before) + 1)})
+
+    def run_many(self, chars: np.ndarray, states: list[int]) -> dict[int, tuple[int, int]]:
+        """For each state the state after some characters and the tokens counted; runs that meet go on as one."""
+        ends = {s: (s, 0) for s in states}
+        for low in range(0, len(chars), 256):
+            part = chars[low : low + 256]
+            moved = {s: self.run(part, s) for s in {e for e, _ in ends.values()}}
+            ends = {s: (moved[e][0], n + moved[e][1]) for s, (e, n) in ends.items()}
+        return ends
+
     def _settle(self) -> None:
         """Known transitions as sorted arrays, for many units at once."""
         if len(self._moves) > 1.1 * self._settled:
@@ -164,27 +186,6 @@ class Transducer:
         return total
 
 
-class StateMap:
-    """What a chunk does to the state that comes in, and how many tokens it counts.
-
-    Without a reset the chunk is its head alone; with one, the end state does
-    not depend on what came in.
-    """
-
-    def __init__(self, head: list[np.ndarray], state: int | None, count: int):
-        self.head, self.state, self.count = head, state, count
-
-    def then(self, machine: Transducer, other: StateMap) -> StateMap:
-        """The map of both chunks, one after the other."""
-        if self.state is None:
-            return StateMap([*self.head, *other.head], other.state, other.count)
-        state, count = self.state, self.count
-        for chars in other.head:
-            state, more = machine.run(chars, state)
-            count += more
-        return StateMap(self.head, state if other.state is None else other.state, count + other.count)
-
-
 class Counter:
     """Counts tokens of texts by units, remembering units it has seen."""
 
@@ -230,26 +231,30 @@ class Counter:
         bounds = np.searchsorted(start, edges)
         return summed[bounds[1:]] - summed[bounds[:-1]]
 
-    def chunk(self, chars: np.ndarray, before: int) -> StateMap:
-        """The state map of a chunk that follows the character ``before``."""
+    def state_map(self, chars: np.ndarray, before: np.ndarray) -> list[tuple[str, str, int]]:
+        """The state map of a chunk that follows some characters (none: it begins the text): (state, state at the end, tokens)."""
+        machine = self.machine
+        states = machine.entries(before) if len(before) else [0]
         starts = _resets(chars)
-        starts[0] = chars[0] == SPACE and before != SPACE
+        if len(before) and len(chars):
+            starts[0] &= before[-1] != SPACE
         start = np.flatnonzero(starts)
         if not len(start):
-            return StateMap([chars], None, 0)
+            return [(machine.name(s), machine.name(e), n) for s, (e, n) in machine.run_many(chars, states).items()]
+        # From the first reset on nothing depends on what came in.
         count = int(self.units(chars, start[:-1], start[1:]).sum()) if len(start) > 1 else 0
-        state, more = self.machine.run(chars[start[-1] :])
-        return StateMap([chars[: start[0]]], state, count + more)
+        end, more = machine.run(chars[start[-1] :])
+        heads = machine.run_many(chars[: start[0]], states)
+        return [(machine.name(s), machine.name(end), n + count + more) for s, (_, n) in heads.items()]
 
     def long_text(self, text: str, chunk: int = CHUNK) -> int:
-        """The token count of one text, by a scan over the state maps of its chunks."""
-        maps, before = [], 0
+        """The token count of one text, chunk after chunk."""
+        state, total = 0, 0
         for low in range(0, len(text), chunk):
             chars = _characters([text[low : low + chunk]])[0]
-            maps.append(self.chunk(chars[1:] if low else chars, before))
-            before = int(chars[-1])
-        first = StateMap([], 0, 0)
-        return reduce(lambda a, b: a.then(self.machine, b), maps, first).count
+            state, n = self.machine.run(chars[1:] if low else chars, state)
+            total += n
+        return total
 
 
 def _characters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,34 +275,102 @@ def _resets(chars: np.ndarray) -> np.ndarray:
 _counters: dict[str, Counter] = {}
 
 
-def _count(path: str):
+def _counter(path: str) -> Counter:
+    if path not in _counters:
+        _counters[path] = Counter(Transducer.from_sentencepiece(path))
+    counter = _counters[path]
+    if counter.machine.states > STATES:
+        counter.machine.forget()
+    return counter
+
+
+def _count(path: str, whole: bool):
+    """Rows (row, place, text): bytes and tokens; ``whole`` says to count each text by itself, chunk after chunk."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(Transducer.from_sentencepiece(path))
-        counter = _counters[path]
         for batch in batches:
-            column = batch.column(1).fill_null("")
+            column = batch.column(2).fill_null("")
             for low, high in slices(column, CHUNK):
-                if counter.machine.states > STATES:
-                    counter.machine.forget()
                 texts = column.slice(low, high - low).to_pylist()
-                long = len(texts) == 1 and len(texts[0]) > CHUNK
-                tokens = [counter.long_text(texts[0])] if long else counter.texts(texts)
+                counter = _counter(path)
+                tokens = [counter.long_text(t) for t in texts] if whole else counter.texts(texts)
                 size = [len(t.encode()) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], names=["row", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(low, high - low) for c in batch.columns[:2]), pa.array(size, pa.int64()), pa.array(tokens, pa.int64())], names=["row", "place", "n_bytes", "n_tokens"])
+
+    return run
+
+
+def _chunks(size: int, context: int):
+    """Rows (place, text): (place, chunk, before, text), with the last characters before each chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, low in enumerate(range(0, len(text), size)):
+                    yield pa.RecordBatch.from_pydict({"place": [place], "chunk": pa.array([k], pa.int32()), "before": [text[max(0, low - context) : low]], "text": [text[low : low + size]]})
 
     return run
 
 
+def _maps(path: str, size: int):
+    """Rows (place, chunk, before, text): the state map of each chunk, an entry a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, chunk, before, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                chars = _characters([before + text])[0]
+                if before:
+                    # The space put before a text belongs to its begin only.
+                    own = chars[1:] if chunk * size > len(before) else chars
+                    head, chars = own[: len(own) - len(text)], own[len(own) - len(text) :]
+                else:
+                    head = chars[:0]
+                found = _counter(path).state_map(chars, head)
+                columns = [pa.array([place] * len(found)), pa.array([chunk] * len(found), pa.int32()), *(pa.array([x[k] for x in found]) for k in range(3))]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "chunk", "begin", "end", "n"])
+
+    return run
+
+
+def composed(maps: DataFrame) -> DataFrame:
+    """State maps (place, chunk, begin, end, n) of texts as one map for each text, in rounds that halve the chunks."""
+    while (maps.agg(F.max("chunk")).first()[0] or 0) > 0:
+        pair = maps.withColumn("half", F.floor(F.col("chunk") / 2).cast("int"))
+        left = pair.where("chunk % 2 = 0").select("place", "half", "begin", F.col("end").alias("state"), F.col("n").alias("first"))
+        right = pair.where("chunk % 2 = 1").select("place", "half", F.col("begin").alias("state"), "end", "n")
+        # The last chunk of a text of odd length goes on alone.
+        last = pair.groupBy("place").agg(F.max("chunk").alias("chunk")).where("chunk % 2 = 0")
+        alone = pair.join(last, ["place", "chunk"], "left_semi").select("place", F.col("half").alias("chunk"), "begin", "end", "n")
+        both = left.join(right, ["place", "half", "state"]).select("place", F.col("half").alias("chunk"), "begin", "end", (F.col("first") + F.col("n")).alias("n"))
+        maps = written(both.union(alone))
+    return maps
+
+
 def token_counts(docs: DataFrame, model: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 4096) -> DataFrame:
     """The ``keep`` columns of each row, with n_bytes (UTF-8), n_tokens and over_limit.
 
     ``model`` is the path of a BPE vocabulary file that every executor has.
     Counts are those of its library without begin, end or other added tokens;
     strings of special tokens are ordinary text.  Null reads as empty, and an
-    empty text has no tokens.  Texts of any length are counted whole.
+    empty text has no tokens.  Texts of any length are counted whole; where the
+    maps of a long text's chunks don't meet, as none of its last characters tells
+    the state, it is counted chunk after chunk.  Columns to keep may not be
+    called n_bytes, n_tokens or over_limit.  Repeated rows are counted one by
+    one; an empty table gives an empty table.
     """
-    rows = small_batches(docs).select(F.struct(*keep).alias("row"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    done = rows.mapInArrow(_count(model), f"row {kind}, n_bytes long, n_tokens long")
-    return done.select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    if clash := {"n_bytes", "n_tokens", "over_limit"} & set(keep):
+        raise ValueError(f"columns to keep are named as results are: {sorted(clash)}")
+    text = F.col(text_col).cast("string")
+    rows = small_batches(docs).select(F.struct(*keep).alias("row"), F.lit(0).cast("long").alias("place"), text.alias("text"))
+    done = f"row {rows.schema['row'].dataType.simpleString()}, place long, n_bytes long, n_tokens long"
+    is_long = F.octet_length("text") > CHUNK
+    counted = rows.where(~F.coalesce(is_long, F.lit(False))).mapInArrow(_count(model, False), done).select("row", "n_bytes", "n_tokens")
+    long = written(rows.where(is_long).withColumn("place", F.monotonically_increasing_id()))
+    if not long.isEmpty():
+        chunks = long.select("place", "text").mapInArrow(_chunks(CHUNK, BEFORE), "place long, chunk int, before string, text string").repartition("place", "chunk")
+        maps = composed(written(chunks.mapInArrow(_maps(model, CHUNK), "place long, chunk int, begin string, end string, n long")))
+        whole = long.join(maps.select("place", F.col("n").alias("n_tokens")), "place", "left")
+        met = whole.where("n_tokens is not null").select("row", F.octet_length("text").cast("long").alias("n_bytes"), "n_tokens")
+        rest = whole.where("n_tokens is null").select("row", "place", "text").mapInArrow(_count(model, True), done).select("row", "n_bytes", "n_tokens")
+        counted = counted.union(met).union(rest)
+    return counted.select("row.*", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
