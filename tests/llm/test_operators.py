@@ -7,6 +7,7 @@ import random
 import re
 import time
 from fractions import Fraction
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -86,6 +87,17 @@ def test_url_rules(spark):
     assert {r.verdict for r in urlfilter.judge_urls(pages, table(spark, [], "rule string, verdict string"), default="block").collect()} == {"block"}
 
 
+def test_rules_are_swept_as_one_stream():
+    """No more rules are held than those of the open hosts; names of results can't be kept."""
+    sweep = urlfilter.Sweep()
+    for k in range(1000):
+        sweep.open(f"com.h{k:04}.", "/", f"h{k:04}.com/", "block")
+        assert len(sweep.stack) == 1
+    assert sweep.judge("com.h0999.a.", "/x") == ("h0999.com/", "block") and sweep.judge("com.z.", "/") is None
+    with pytest.raises(ValueError):
+        urlfilter.judge_urls(SimpleNamespace(), None, keep=("page_id", "host"))
+
+
 # --- 2
 
 
@@ -579,6 +591,7 @@ def brute_vectors(rows, least=0.95):
 @pytest.mark.parametrize("block", [2048, 20])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "CELL", block)
     monkeypatch.setattr(vectors, "BATCH", 16)
     r = np.random.default_rng(9)
     rows = [v.tolist() for v in r.standard_normal((120, 8))]

@@ -3,9 +3,11 @@
 A host is written with its labels reversed, each ended by a dot, so that a rule's
 host and all its subdomains are one interval of keys (those that start with the
 rule's).  Urls are dealt out by ranges of (key, path); a rule goes to every range
-that its interval meets.  Each range is sorted and swept once: rules open
-intervals on a stack, those that end are popped, and a url looks at the open
-hosts only, from the innermost outwards, for the longest fitting rule.
+that its interval meets.  Rules and urls of a range are sorted together and swept
+once as one stream: a rule comes before all urls in its interval and opens it on
+a stack, intervals that end are popped, and a url looks at the open hosts only,
+from the innermost outwards, for the longest fitting rule.  So no more rules are
+held than those of the open hosts.
 
 The range limits come from a bounded sample of urls.  Where one url is so
 frequent that it is several limits at once, its rows are dealt over the ranges
@@ -15,7 +17,7 @@ between; so neither a hot host nor a hot url stays in one task.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -75,29 +77,30 @@ class PathRules:
 
 
 class Sweep:
-    """A sweep over keys in order with a stack of the open hosts."""
+    """A sweep over rules and urls in the order of their keys, with a stack of the open hosts."""
 
-    def __init__(self, rules: Sequence[tuple[str, str, str, str]]):
-        """rules: (host key, path, rule, verdict)."""
-        by: dict[str, list[tuple[str, str, str]]] = {}
-        for key, path, rule, verdict in rules:
-            by.setdefault(key, []).append((path, rule, verdict))
-        self.waiting = [(key, PathRules(by[key])) for key in sorted(by, reverse=True)]
-        self.stack: list[tuple[str, PathRules]] = []
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, list[tuple[str, str, str]], list[PathRules]]] = []
+
+    def _close(self, key: str) -> None:
+        while self.stack and not key.startswith(self.stack[-1][0]):
+            self.stack.pop()
+
+    def open(self, key: str, path: str, rule: str, verdict: str) -> None:
+        """A rule for a host and all its subdomains; it comes before their urls."""
+        self._close(key)
+        if not self.stack or self.stack[-1][0] != key:
+            self.stack.append((key, [], []))
+        self.stack[-1][1].append((path, rule, verdict))
 
     def judge(self, key: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits; keys come in order."""
-        stack, waiting = self.stack, self.waiting
-        while waiting and waiting[-1][0] <= key:
-            opened = waiting.pop()
-            while stack and not opened[0].startswith(stack[-1][0]):
-                stack.pop()
-            stack.append(opened)
-        while stack and not key.startswith(stack[-1][0]):
-            stack.pop()
+        """The longest rule that fits a url."""
+        self._close(key)
         found, length = None, -1
-        for host, rules in reversed(stack):
-            if (fit := rules.longest(path)) and len(host) - 1 + fit[0] > length:
+        for host, rules, sorted_ in reversed(self.stack):
+            if not sorted_:
+                sorted_.append(PathRules(rules))
+            if (fit := sorted_[0].longest(path)) and len(host) - 1 + fit[0] > length:
                 found, length = fit[1:], len(host) - 1 + fit[0]
         return found
 
@@ -133,20 +136,19 @@ def _rule_parts(limits: list[tuple[str, str]]):
 
 
 def _sweep(default: str):
-    """Sorted rows (part, is_url, key, path, rule, verdict, row): the rules of a range, then its urls."""
+    """Rows (part, is_url, key, path, rule, verdict, row) in the order of part, key, and rules before urls: the urls judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, rules, sweep = None, [], None
+        part, sweep = None, Sweep()
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in range(6)]
             at, names, verdicts = [], [], []
             for k, (p, is_url, key, path, rule, verdict) in enumerate(zip(*columns, strict=True)):
                 if p != part:
-                    part, rules, sweep = p, [], None
+                    part, sweep = p, Sweep()
                 if not is_url:
-                    rules.append((key, path, rule, verdict))
+                    sweep.open(key, path, rule, verdict)
                     continue
-                sweep = sweep or Sweep(rules)
                 found = sweep.judge(key, path) or (None, default)
                 at.append(k)
                 names.append(found[0])
@@ -168,8 +170,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
 
     Null urls and urls without ``://`` have an empty host and path and fit no
     rule.  Null rules and rules with an empty host are left out.  Repeated rows
-    are judged one by one; an empty table gives an empty table.
+    are judged one by one; an empty table gives an empty table.  Columns to keep
+    may not be called host, path, rule or verdict.
     """
+    if clash := {"host", "path", "rule", "verdict"} & set(keep):
+        raise ValueError(f"columns to keep are named as results are: {sorted(clash)}")
     spark = pages.sparkSession
     host, path = parts(F.col(url_col).cast("string"))
     urls = pages.select(F.struct(*keep, host.alias("host"), path.alias("path")).alias("row"))
@@ -190,5 +195,5 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", keep: t
     both = dealt.select("part", F.lit(True).alias("is_url"), "key", "path", nothing.cast("string").alias("rule"), nothing.cast("string").alias("verdict"), "row").union(
         spread_rules.select("part", F.lit(False), "key", "path", "rule", "verdict", nothing.cast(row))
     )
-    done = both.repartition("part").sortWithinPartitions("part", "is_url", "key", "path").mapInArrow(_sweep(default), f"row {row}, rule string, verdict string")
+    done = both.repartition("part").sortWithinPartitions("part", "key", "is_url", "path").mapInArrow(_sweep(default), f"row {row}, rule string, verdict string")
     return done.select("row.*", "rule", "verdict")
