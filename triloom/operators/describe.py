@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ def describe(compiler, q: Query) -> DataFrame:
     on iterations and statements that hints set.
     """
     mode = q.hints.get("describeMode", SYMMETRIC)
-    most = int(q.hints.get("describeIterationLimit", 0)) or 100
+    most = int(q.hints.get("describeIterationLimit", 0))
     limit = int(q.hints.get("describeStatementLimit", 0))
     every = statements(compiler.graph.using(q.default_graphs, q.named_graphs) if q.default_graphs or q.named_graphs else compiler.graph)
     both = mode in (SYMMETRIC, SCBD)
@@ -58,7 +59,7 @@ def describe(compiler, q: Query) -> DataFrame:
     if mode in (CBD, SCBD):
         seen = x = written(x)
         found = written(found)
-        for _ in range(most):
+        for _ in range(most) if most else count():
             ends = found.select(F.col("o").alias("x"))
             if both:
                 ends = ends.union(found.select("s"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +54,8 @@ class Program:
     whole: bool = False
 
 
-def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, rounds: int = 100) -> DataFrame:
-    """State after no vertex changes, or after ``rounds``.
+def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, rounds: int | None = None) -> DataFrame:
+    """State after no vertex changes, or after ``rounds`` if they are given.
 
     ``whole`` programs gather over all vertices in each round; others from the
     frontier only.
@@ -63,7 +65,7 @@ def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, roun
     state = nodes.select("id", *(c.alias(n) for n, c in program.init.items()))
     state = written(state.withColumn("active", program.start if program.start is not None else F.lit(True)))
     links = directed(edges, program.way)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         from_ = state if program.whole else state.where("active")
         sent = links.join(from_.select(F.col("id").alias("src"), *names), "src").select(F.col("dst").alias("id"), program.message.alias("m"))
         sums = sent.groupBy("id").agg(program.sum(F.col("m")).alias("sum"))
@@ -75,7 +77,7 @@ def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, roun
     return state.select("id", *names)
 
 
-def bfs(edges: DataFrame, source: object, way: str = OUT, rounds: int = 10_000) -> DataFrame:
+def bfs(edges: DataFrame, source: object, way: str = OUT, rounds: int | None = None) -> DataFrame:
     """(id, depth, predecessor): depth 0 at the source, -1 and no predecessor where not reached."""
     none = F.lit(None).cast(edges.schema["src"].dataType)
     found = run(
@@ -95,13 +97,29 @@ def bfs(edges: DataFrame, source: object, way: str = OUT, rounds: int = 10_000)
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(id, component): the smallest id that is connected, whatever the direction."""
-    return run(
-        Program({"component": F.col("id")}, F.col("component"), F.min, {"component": F.least("old_component", "sum")}, F.col("component") < F.col("old_component"), ALL),
-        edges,
-        nodes,
-        rounds=10_000,
-    )
+    """(id, component): the smallest id that is connected, whatever the direction.
+
+    Links are contracted to stars: in turns all larger and all smaller neighbours
+    of a vertex are linked to the smallest.  The rounds grow with the logarithm
+    of the vertices, not with the diameter.
+    """
+    links = written(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a <> b").distinct())
+    every = vertices(edges) if nodes is None else nodes.select("id").distinct()
+    seen = None
+    while True:
+        both = links.union(links.select("b", "a"))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        larger = written(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        down = larger.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = down.groupBy("a").agg(F.min("b").alias("m"))
+        smaller = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        links = written(smaller.where("a <> b").distinct())
+        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen or not now[0]:
+            break
+        seen = now
+    roots = links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component"))
+    return every.join(roots, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, epsilon: float | None = None) -> DataFrame:
@@ -120,7 +138,7 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, epsilon:
     )
 
 
-def sssp(edges: DataFrame, source: object, way: str = OUT, rounds: int = 10_000) -> DataFrame:
+def sssp(edges: DataFrame, source: object, way: str = OUT, rounds: int | None = None) -> DataFrame:
     """(id, distance): the least sum of weights from the source, NULL where there is no way."""
     return run(
         Program(
@@ -139,16 +157,13 @@ def sssp(edges: DataFrame, source: object, way: str = OUT, rounds: int = 10_000)
 
 def fuzzy_sssp(edges: DataFrame, sources: list, targets: list, hops: int = 1) -> DataFrame:
     """Vertices on shortest unweighted ways between sources and targets, and those within ``hops`` of them."""
-    found = None
+    ends = {t: written(bfs(edges, t, IN).where("depth >= 0").select("id", F.col("depth").alias("back"))) for t in targets}
+    ways = []
     for s in sources:
-        ahead = bfs(edges, s).where("depth >= 0")
-        for t in targets:
-            back = bfs(edges, t, IN).where("depth >= 0").select("id", F.col("depth").alias("back"))
-            whole = ahead.where(F.col("id") == F.lit(t)).select("depth").first()
-            if whole is None:
-                continue
-            on = ahead.join(back, "id").where(F.col("depth") + F.col("back") == whole[0]).select("id")
-            found = on if found is None else found.union(on)
+        ahead = written(bfs(edges, s).where("depth >= 0"))
+        long = dict(ahead.where(F.col("id").isin(targets)).select("id", "depth").collect()) if targets else {}
+        ways += [ahead.join(ends[t], "id").where(F.col("depth") + F.col("back") == long[t]).select("id") for t in targets if t in long]
+    found = reduce(DataFrame.union, ways) if ways else None
     if found is None:
         return vertices(edges).limit(0)
     near = found = written(found.distinct())
@@ -177,3 +192,14 @@ def edges_of(graph, predicate: str | None = None, g: object = None) -> DataFrame
     found = graph.triple(Triple(Var("s"), iri(predicate) if predicate else Var("p"), Var("o")), g)
     s, o = found.val("s"), found.val("o")
     return found.df.where(o.kind() < 4).select(s.lex().alias("src"), o.lex().alias("dst"))
+
+
+def weights_of(graph, edges: DataFrame, weight, predicate: str | None = None, g: object = None) -> DataFrame:
+    """Edges with the weight that a statement about the quoted edge gives; 1 where there is none."""
+    from ..plans.algebra import Triple, Var
+
+    found = graph.triple(Triple(Var("s"), weight, Var("o")), g)
+    part = lambda n: F.regexp_extract(found.val("s").lex(), r"^<<\s*<([^>]*)>\s+<([^>]*)>\s+<([^>]*)>\s*>>$", n)
+    rows = found.df.select(part(1).alias("src"), part(2).alias("p"), part(3).alias("dst"), found.val("o").lex().try_cast("double").alias("weight"))
+    rows = rows.where(F.col("p") == predicate if predicate else F.col("p") != "").select("src", "dst", "weight")
+    return edges.join(rows, ["src", "dst"], "left").fillna(1.0, ["weight"])

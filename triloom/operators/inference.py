@@ -1,8 +1,9 @@
 """Forward-chaining inference: RDFS, and OWL rules, as fixpoints of joins.
 
 Triples are (s, p, o) structs.  A rule is a function from the triples that are
-known, and those that are new, to conclusions; a round applies all rules to what
-the last round added, so a conclusion is made once.  The fast program closes the
+known, and those of them that are new, to the conclusions that need a new one; a
+round applies all rules to what the last round added.  Rules that take the known
+triples only are applied to all of them.  The fast program closes the
 schema first, which is small, and then makes one pass over the data for each
 kind of entailment.
 """
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +28,7 @@ SAME, EQUIVALENT_CLASS, EQUIVALENT_PROPERTY, INVERSE, SYMMETRIC, TRANSITIVE, FUN
     iri(OWL + x) for x in ("sameAs", "equivalentClass", "equivalentProperty", "inverseOf", "SymmetricProperty", "TransitiveProperty", "FunctionalProperty", "InverseFunctionalProperty", "onProperty", "hasValue")
 )
 
-Rule = Callable[[DataFrame], DataFrame]
+Rule = Callable[..., DataFrame]
 
 
 def is_(column: str, term: Term) -> Column:
@@ -48,112 +50,131 @@ def _chain(a: DataFrame, b: DataFrame, p: Term) -> DataFrame:
     return _make(a.select("s", F.col("o").alias("m")).join(b.select(F.col("s").alias("m"), "o"), "m"), F.col("s"), p, F.col("o"))
 
 
+def _either(t: DataFrame, d: DataFrame | None, left: Callable[[DataFrame], DataFrame], right: Callable[[DataFrame], DataFrame], join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """A rule of two premises over all triples, or (with ``d``) where one of them is new."""
+    if d is None:
+        return join(left(t), right(t))
+    return join(left(d), right(t)).union(join(left(t), right(d)))
+
+
 # --- RDFS, by the names of the specification
 
 
-def rdf1(t: DataFrame) -> DataFrame:
+def rdf1(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(t.select("p").distinct(), F.col("p"), TYPE, PROPERTY)
 
 
-def rdfs2(t: DataFrame) -> DataFrame:
-    d = _of(t, DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("c"))
-    return _make(t.select("s", "p").join(d, "p"), F.col("s"), TYPE, F.col("c"))
+def rdfs2(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, DOMAIN).select(F.col("s").alias("p"), F.col("o").alias("c"))
+    return _either(t, d, lambda x: x.select("s", "p"), of, lambda a, b: _make(a.join(b, "p"), F.col("s"), TYPE, F.col("c")))
 
 
-def rdfs3(t: DataFrame) -> DataFrame:
-    d = _of(t, RANGE).select(F.col("s").alias("p"), F.col("o").alias("c"))
-    return _make(t.where(F.col("o.kind") != LITERAL).select("o", "p").join(d, "p"), F.col("o"), TYPE, F.col("c"))
+def rdfs3(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, RANGE).select(F.col("s").alias("p"), F.col("o").alias("c"))
+    return _either(t, d, lambda x: x.where(F.col("o.kind") != LITERAL).select("o", "p"), of, lambda a, b: _make(a.join(b, "p"), F.col("o"), TYPE, F.col("c")))
 
 
-def rdfs4a(t: DataFrame) -> DataFrame:
+def rdfs4a(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(t.select("s").distinct(), F.col("s"), TYPE, RESOURCE)
 
 
-def rdfs4b(t: DataFrame) -> DataFrame:
+def rdfs4b(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(t.where(F.col("o.kind") != LITERAL).select("o").distinct(), F.col("o"), TYPE, RESOURCE)
 
 
-def rdfs5(t: DataFrame) -> DataFrame:
-    a = _of(t, SUBPROPERTY)
-    return _chain(a, a, SUBPROPERTY)
+def rdfs5(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SUBPROPERTY)
+    return _either(t, d, of, of, lambda a, b: _chain(a, b, SUBPROPERTY))
 
 
-def rdfs6(t: DataFrame) -> DataFrame:
+def rdfs6(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, TYPE, PROPERTY), F.col("s"), SUBPROPERTY, F.col("s"))
 
 
-def rdfs7(t: DataFrame) -> DataFrame:
-    sub = _of(t, SUBPROPERTY).select(F.col("s").alias("p"), F.col("o").alias("q")).where("p <> q")
-    return _make(t.join(sub, "p"), F.col("s"), F.col("q"), F.col("o"))
+def rdfs7(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SUBPROPERTY).select(F.col("s").alias("p"), F.col("o").alias("q")).where("p <> q")
+    return _either(t, d, lambda x: x, of, lambda a, b: _make(a.join(b, "p"), F.col("s"), F.col("q"), F.col("o")))
 
 
-def rdfs8(t: DataFrame) -> DataFrame:
+def rdfs8(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, TYPE, CLASS), F.col("s"), SUBCLASS, RESOURCE)
 
 
-def rdfs9(t: DataFrame) -> DataFrame:
-    return _chain(_of(t, TYPE), _of(t, SUBCLASS), TYPE)
+def rdfs9(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    return _either(t, d, lambda x: _of(x, TYPE), lambda x: _of(x, SUBCLASS), lambda a, b: _chain(a, b, TYPE))
 
 
-def rdfs10(t: DataFrame) -> DataFrame:
+def rdfs10(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, TYPE, CLASS), F.col("s"), SUBCLASS, F.col("s"))
 
 
-def rdfs11(t: DataFrame) -> DataFrame:
-    a = _of(t, SUBCLASS)
-    return _chain(a, a, SUBCLASS)
+def rdfs11(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SUBCLASS)
+    return _either(t, d, of, of, lambda a, b: _chain(a, b, SUBCLASS))
 
 
-def rdfs12(t: DataFrame) -> DataFrame:
+def rdfs12(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, TYPE, CONTAINER), F.col("s"), SUBPROPERTY, MEMBER)
 
 
-def rdfs13(t: DataFrame) -> DataFrame:
+def rdfs13(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, TYPE, DATATYPE), F.col("s"), SUBCLASS, LITERALS)
 
 
 # --- OWL
 
 
-def same_symmetric(t: DataFrame) -> DataFrame:
+def same_symmetric(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    t = t if d is None else d
     return _make(_of(t, SAME), F.col("o"), SAME, F.col("s"))
 
 
-def same_transitive(t: DataFrame) -> DataFrame:
-    a = _of(t, SAME)
-    return _chain(a, a, SAME).where("s <> o")
+def same_transitive(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SAME)
+    return _either(t, d, of, of, lambda a, b: _chain(a, b, SAME).where("s <> o"))
 
 
-def same_subject(t: DataFrame) -> DataFrame:
-    same = _of(t, SAME).select("s", F.col("o").alias("x")).where("s <> x")
-    return _make(t.where(~is_("p", SAME)).join(same, "s"), F.col("x"), F.col("p"), F.col("o"))
+def same_subject(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SAME).select("s", F.col("o").alias("x")).where("s <> x")
+    return _either(t, d, lambda x: x.where(~is_("p", SAME)), of, lambda a, b: _make(a.join(b, "s"), F.col("x"), F.col("p"), F.col("o")))
 
 
-def same_object(t: DataFrame) -> DataFrame:
-    same = _of(t, SAME).select(F.col("s").alias("o"), F.col("o").alias("x")).where("o <> x")
-    return _make(t.where(~is_("p", SAME)).join(same, "o"), F.col("s"), F.col("p"), F.col("x"))
+def same_object(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, SAME).select(F.col("s").alias("o"), F.col("o").alias("x")).where("o <> x")
+    return _either(t, d, lambda x: x.where(~is_("p", SAME)), of, lambda a, b: _make(a.join(b, "o"), F.col("s"), F.col("p"), F.col("x")))
 
 
 def _equivalent(p: Term, sub: Term) -> Rule:
-    def rule(t: DataFrame) -> DataFrame:
-        a = _of(t, p)
+    def rule(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+        a = _of(t if d is None else d, p)
         return _make(a, F.col("s"), sub, F.col("o")).union(_make(a, F.col("o"), sub, F.col("s"))).union(_make(a, F.col("o"), p, F.col("s")))
 
     return rule
 
 
-def inverse(t: DataFrame) -> DataFrame:
-    a = _of(t, INVERSE)
-    both = a.select(F.col("s").alias("p"), F.col("o").alias("q")).union(a.select("o", "s"))
-    return _make(t.join(both, "p").where(F.col("o.kind") != LITERAL), F.col("o"), F.col("q"), F.col("s"))
+def inverse(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    def both(x: DataFrame) -> DataFrame:
+        a = _of(x, INVERSE)
+        return a.select(F.col("s").alias("p"), F.col("o").alias("q")).union(a.select("o", "s"))
+
+    return _either(t, d, lambda x: x.where(F.col("o.kind") != LITERAL), both, lambda a, b: _make(a.join(b, "p"), F.col("o"), F.col("q"), F.col("s")))
 
 
 def _typed(t: DataFrame, kind: Term) -> DataFrame:
     return t.join(_of(t, TYPE, kind).select(F.col("s").alias("p")).distinct(), "p", "left_semi").select("s", "p", "o")
 
 
-def symmetric(t: DataFrame) -> DataFrame:
-    return _make(_typed(t, SYMMETRIC).where(F.col("o.kind") != LITERAL), F.col("o"), F.col("p"), F.col("s"))
+def symmetric(t: DataFrame, d: DataFrame | None = None) -> DataFrame:
+    of = lambda x: _of(x, TYPE, SYMMETRIC).select(F.col("s").alias("p")).distinct()
+    return _either(t, d, lambda x: x.where(F.col("o.kind") != LITERAL), of, lambda a, b: _make(a.join(b, "p", "left_semi"), F.col("o"), F.col("p"), F.col("s")))
 
 
 def transitive(t: DataFrame) -> DataFrame:
@@ -198,15 +219,31 @@ def axioms(spark) -> DataFrame:
     return spark.range(1).select(F.inline(F.array(*(F.struct(*(constant(x).alias(n) for n, x in zip("spo", a, strict=True))) for a in AXIOMS))))
 
 
-def fixpoint(triples: DataFrame, rules: list[Rule], rounds: int = 1000) -> DataFrame:
-    """Triples with all conclusions of some rules, each once."""
-    known = written(triples.select("s", "p", "o").distinct())
-    for _ in range(rounds):
-        made = reduce(DataFrame.union, (r(known) for r in rules)).where(F.col("s.kind") != LITERAL)
-        fresh = written(made.distinct().join(known, ["s", "p", "o"], "left_anti"))
-        if fresh.isEmpty():
-            break
-        known = written(known.union(fresh))
+#: Parts of the known triples before they are written as one.
+PARTS = 8
+
+
+def _apply(rules: list[Rule], known: DataFrame, new: DataFrame | None) -> DataFrame:
+    """Conclusions of some rules; with ``new``, of those that need a new triple where rules can tell."""
+    made = [r(known, new) if new is not None and len(signature(r).parameters) > 1 else r(known) for r in rules]
+    return reduce(DataFrame.union, made).where(F.col("s.kind") != LITERAL)
+
+
+def fixpoint(triples: DataFrame, rules: list[Rule], new: DataFrame | None = None) -> DataFrame:
+    """Triples with all conclusions of some rules, each once.
+
+    With ``new`` the others are closed already: only what follows from the new
+    ones is looked for.  Each round writes what it adds.
+    """
+    known, parts = written(triples.select("s", "p", "o").distinct()), 1
+    if new is not None:
+        new = written(new.select("s", "p", "o").distinct().join(known, ["s", "p", "o"], "left_anti"))
+        known, parts = known.union(new), 2
+    while new is None or not new.isEmpty():
+        new = written(_apply(rules, known, new).distinct().join(known, ["s", "p", "o"], "left_anti"))
+        known, parts = known.union(new), parts + 1
+        if parts >= PARTS:
+            known, parts = written(known), 1
     return known
 
 
@@ -215,7 +252,11 @@ def full_closure(triples: DataFrame, owl: bool = True, with_axioms: bool = True)
     base = triples.select("s", "p", "o")
     if with_axioms:
         base = base.union(axioms(triples.sparkSession))
-    return fixpoint(base, RDFS_RULES + (OWL_RULES if owl else []) + CUSTOM_RULES)
+    return fixpoint(base, _rules(owl))
+
+
+def _rules(owl: bool) -> list[Rule]:
+    return RDFS_RULES + (OWL_RULES if owl else []) + CUSTOM_RULES
 
 
 def _pairs(t: DataFrame, p: Term) -> DataFrame:
@@ -272,14 +313,30 @@ def closed_quads(quads: DataFrame, close: Callable[[DataFrame], DataFrame] = ful
     return told.unionByName(flagged.select("s", "p", "o", F.lit(None).cast(TERM_DDL).alias("g"), kind.alias("st")))
 
 
-def assert_delta(closed: DataFrame, new: DataFrame, close: Callable[[DataFrame], DataFrame] = full_closure) -> DataFrame:
-    """The closure after triples are added to closed ones: only what is new goes through the rules' rounds at first."""
-    return close(closed.select("s", "p", "o").union(new.select("s", "p", "o")))
-
-
-def retract(told: DataFrame, gone: DataFrame, close: Callable[[DataFrame], DataFrame] = full_closure) -> DataFrame:
-    """The closure after told triples are removed: conclusions that nothing else supports go too."""
-    return close(told.select("s", "p", "o").join(gone.select("s", "p", "o"), ["s", "p", "o"], "left_anti"))
+def assert_delta(closed: DataFrame, new: DataFrame, owl: bool = True) -> DataFrame:
+    """The closure after triples are added to closed ones: only what follows from the new ones is made."""
+    return fixpoint(closed, _rules(owl), new)
+
+
+def retract(told: DataFrame, gone: DataFrame, closed: DataFrame | None = None, owl: bool = True, with_axioms: bool = True) -> DataFrame:
+    """The closure after told triples are removed: conclusions that nothing else supports go too.
+
+    All that follows from the removed triples is taken out of the closure first
+    (``closed``, made here if it isn't given); what still follows from the rest
+    is put back.
+    """
+    key, rules = ["s", "p", "o"], _rules(owl)
+    closed = full_closure(told, owl, with_axioms) if closed is None else closed.select(*key)
+    left = told.select(*key).join(gone.select(*key), key, "left_anti").distinct()
+    safe = written(left.union(axioms(told.sparkSession)).distinct() if with_axioms else left)
+    out = new = written(closed.join(gone.select(*key), key, "left_semi").join(safe, key, "left_anti").distinct())
+    while not new.isEmpty():
+        made = _apply(rules, closed, new).distinct().join(closed, key, "left_semi")
+        new = written(made.join(safe, key, "left_anti").join(out, key, "left_anti"))
+        out = written(out.union(new))
+    rest = written(closed.join(out, key, "left_anti"))
+    back = _apply(rules, rest, None).distinct().join(out, key, "left_semi")
+    return fixpoint(rest, rules, back)
 
 
 def same_as_expanded(triples: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Variables that are bound on both sides are joined by equality, natively where
 their types agree.  A variable that may be unbound is compatible with anything:
 if other variables are always bound they are the join's keys and the rest is a
 condition; if none is, the sides are split by which variables are unbound, so
-that each part is an equality join.
+that each part is an equality join.  Outer and semi joins of such sides number the
+rows of the first, find those that match part by part, and come back by number.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.graphs import Solutions
+from ..store import written
 from ..terms import TERM_DDL, Val
 
 
@@ -66,6 +68,12 @@ def _merge(a: Solutions, b: Solutions, here: dict[str, Val], there: dict[str, Va
     return values, maybe
 
 
+def _loose(a: Solutions, b: Solutions) -> list[str] | None:
+    """The shared variables, if there are any and all of them may be unbound."""
+    shared = set(a.variables) & set(b.variables)
+    return sorted(shared) if shared and shared <= (a.maybe | b.maybe) else None
+
+
 def inner(a: Solutions, b: Solutions, how: str | None = None) -> Solutions:
     """Compatible solutions of both sides; ``how`` is a join hint for the right one."""
     shared = set(a.variables) & set(b.variables)
@@ -80,15 +88,25 @@ def inner(a: Solutions, b: Solutions, how: str | None = None) -> Solutions:
     return Solutions.of(joined, values, maybe)
 
 
-def _split(a: Solutions, b: Solutions, names: list[str]) -> Solutions:
-    """A join all of whose shared variables may be unbound, part by part."""
+def _split(a: Solutions, b: Solutions, names: list[str], minus: bool = False, once: bool = False) -> Solutions | None:
+    """A join all of whose shared variables may be unbound, part by part.
+
+    For MINUS (``minus``) parts that share no bound variable are left out.  Where
+    only it matters whether there is a match (``once``), one row of the second
+    side stands for all that are compatible with everything.
+    """
     parts = []
     for pattern in product((True, False), repeat=2 * len(names)):
         mine, other = pattern[: len(names)], pattern[len(names) :]
         if any(x and n not in a.maybe for n, x in zip(names, mine, strict=True)) or any(x and n not in b.maybe for n, x in zip(names, other, strict=True)):
             continue
+        none = all(x or y for x, y in zip(mine, other, strict=True))
+        if minus and none:
+            continue
         left = _where(a, names, mine)
         right = _where(b, names, other)
+        if once and none:
+            right = Solutions(right.df.limit(1), right.variables, right.maybe)
         for n, x in zip(names, mine, strict=True):
             if x:
                 left = Solutions(left.df, {k: v for k, v in left.variables.items() if k != n}, left.maybe - {n})
@@ -96,7 +114,23 @@ def _split(a: Solutions, b: Solutions, names: list[str]) -> Solutions:
             if x:
                 right = Solutions(right.df, {k: v for k, v in right.variables.items() if k != n}, right.maybe - {n})
         parts.append(inner(left, right))
-    return reduce(union, parts)
+    return reduce(union, parts) if parts else None
+
+
+_ROW = "v_ row"
+
+
+def _rowed(a: Solutions) -> Solutions:
+    """With numbers of rows, written, so that they stay the same whenever the rows are read."""
+    df = written(a.df.withColumn(_ROW, F.monotonically_increasing_id()))
+    return Solutions(df, {**a.variables, " row": Val(F.col(f"`{_ROW}`"), "literal")}, a.maybe)
+
+
+def _hits(rowed: Solutions, b: Solutions, names: list[str], minus: bool = False) -> DataFrame:
+    """Numbers of the rows that have a compatible one on the second side."""
+    right = Solutions.of(b.df, {n: b.val(n) for n in names}, b.maybe & set(names))
+    met = _split(rowed, Solutions(right.df.distinct(), right.variables, right.maybe), names, minus, True)
+    return rowed.df.select(_ROW).limit(0) if met is None else met.df.select(f"`{_ROW}`").distinct()
 
 
 def _where(s: Solutions, names: list[str], unbound: tuple[bool, ...]) -> Solutions:
@@ -106,6 +140,15 @@ def _where(s: Solutions, names: list[str], unbound: tuple[bool, ...]) -> Solutio
 
 def left_outer(a: Solutions, b: Solutions, condition=None) -> Solutions:
     """OPTIONAL; ``condition`` gets the values of both sides and holds for rows that join only."""
+    if (names := _loose(a, b)) is not None:
+        rowed = _rowed(a)
+        met = _split(rowed, b, names)
+        if condition is not None:
+            met = Solutions(met.df.where(condition({n: v for n, v in met.variables.items() if n != " row"})), met.variables, met.maybe)
+        met = Solutions(written(met.df), met.variables, met.maybe)
+        rest = Solutions(rowed.df.join(met.df.select(f"`{_ROW}`").distinct(), _ROW, "left_anti"), rowed.variables, rowed.maybe)
+        out = union(met, rest)
+        return Solutions(out.df.drop(_ROW), {n: v for n, v in out.variables.items() if n != " row"}, out.maybe)
     left, right, here, there = _sides(a, b)
     on = _condition(a, b, here, there)
     if condition is not None:
@@ -121,6 +164,10 @@ def semi(a: Solutions, b: Solutions, anti: bool = False, minus: bool = False) ->
     shared = set(a.variables) & set(b.variables)
     if minus and not shared:
         return a
+    if (names := _loose(a, b)) is not None:
+        rowed = _rowed(a)
+        kept = rowed.df.join(_hits(rowed, b, names, minus), _ROW, "left_anti" if anti else "left_semi")
+        return Solutions(kept.drop(_ROW), a.variables, a.maybe)
     left, right, here, there = _sides(a, b)
     on = _condition(a, b, here, there)
     if minus and shared <= (a.maybe | b.maybe):
@@ -132,13 +179,16 @@ def semi(a: Solutions, b: Solutions, anti: bool = False, minus: bool = False) ->
 def flag(a: Solutions, b: Solutions) -> tuple[Solutions, Column]:
     """All solutions of the first side, and whether there is a compatible one on the second."""
     names = sorted(set(a.variables) & set(b.variables))
-    right = Solutions.of(b.df, {n: b.val(n) for n in names}, b.maybe & set(names))
-    right = Solutions(right.df.distinct().withColumn("v_ hit", F.lit(True)), {**right.variables, " hit": Val(F.col("`v_ hit`"), "literal")}, right.maybe)
-    if right.maybe or a.maybe & set(names):
-        key = Solutions(a.df.withColumn("v_ row", F.uuid()), {**a.variables, " row": Val(F.col("`v_ row`"), "literal")}, a.maybe)
-        out = left_outer(key, right)
-        out = Solutions(out.df.dropDuplicates(["v_ row"]), out.variables, out.maybe)
+    if set(names) & (a.maybe | b.maybe):
+        rowed = _rowed(a)
+        if _loose(a, b) is not None:
+            hits = _hits(rowed, b, names)
+        else:
+            hits = semi(rowed, b).df.select(f"`{_ROW}`")
+        out = Solutions(rowed.df.join(hits.withColumn("v_ hit", F.lit(True)), _ROW, "left"), a.variables, a.maybe)
     else:
+        right = Solutions.of(b.df, {n: b.val(n) for n in names}, b.maybe & set(names))
+        right = Solutions(right.df.distinct().withColumn("v_ hit", F.lit(True)), {**right.variables, " hit": Val(F.col("`v_ hit`"), "literal")}, right.maybe)
         out = left_outer(a, right) if names else left_outer(a, Solutions(right.df.limit(1), right.variables, right.maybe))
     hit = F.coalesce(F.col("`v_ hit`"), F.lit(False))
     return Solutions(out.df, {n: v for n, v in out.variables.items() if n in a.variables}, out.maybe & set(a.variables)), hit

@@ -25,3 +25,12 @@ def numbered(df: DataFrame, name: str, *keys: Column | str) -> DataFrame:
     before = dealt.sparkSession.createDataFrame(list(starts.items()), "`range id` int, `range start` long")
     out = dealt.join(F.broadcast(before), "range id", "left")
     return out.withColumn(name, (F.col("range start") + F.col("range place") + 1).cast("long")).drop("range id", "range place", "range start")
+
+
+def spaced(df: DataFrame, limit: int, *keys: Column | str) -> DataFrame:
+    """``limit`` rows (all, if there are fewer) at even distances in the order of some keys."""
+    n = F.col("place in order")
+    rows = numbered(df, "place in order", *keys)
+    whole = max(rows.count(), 1)
+    limit = min(limit, whole)
+    return rows.where(F.floor(n * limit / whole) != F.floor((n - 1) * limit / whole)).drop("place in order")

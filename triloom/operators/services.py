@@ -7,6 +7,7 @@ the end of their IRI, so any namespace that ends so will do.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..plans.compiler import SERVICES, find_service, register_service
 from ..plans.parser import parse_query
 from ..sources.graphs import Solutions, constants
 from ..terms import Term, Val
-from .ordering import numbered
+from .ordering import numbered, spaced
 
 #: The usual English stop words.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
@@ -70,16 +71,17 @@ def search(index: DataFrame, query: str, all_terms: bool = False, prefix: bool =
         if bare.rstrip("*") and bare not in STOP_WORDS:
             words[bare] = words.get(bare, 0) + 1
     norm = sum(n * n for n in words.values()) ** 0.5 or 1.0
-    hit = None
+    matches = []
     for k, (w, n) in enumerate(sorted(words.items())):
         bare = w.rstrip("*")
         match = F.col("token").startswith(bare) if prefix or w.endswith("*") else F.col("token") == bare
-        case = F.when(match, F.array(F.struct(F.lit(k).alias("term"), (F.lit(n / norm) * F.col("weight")).alias("score"))))
-        empty = F.expr("cast(array() as array<struct<term:int,score:double>>)")
-        hit = F.coalesce(case, empty) if hit is None else F.concat(hit, F.coalesce(case, empty))
-    if hit is None:
+        matches.append((match, F.struct(F.lit(k).alias("term"), (F.lit(n / norm) * F.col("weight")).alias("score"))))
+    if not matches:
         return index.select("id").limit(0).select("id", F.lit(0.0).alias("relevance"), F.lit(0).alias("rank"))
-    hits = index.select("id", F.explode(hit).alias("h")).groupBy("id").agg(F.sum("h.score").alias("relevance"), F.count_distinct("h.term").alias("terms"))
+    # Tokens are filtered first, so that a written index is read only where they are.
+    wanted = index.where(reduce(Column.__or__, (m for m, _ in matches)))
+    hit = F.filter(F.array(*(F.when(m, x) for m, x in matches)), lambda x: x.isNotNull())
+    hits = wanted.select("id", F.explode(hit).alias("h")).groupBy("id").agg(F.sum("h.score").alias("relevance"), F.count_distinct("h.term").alias("terms"))
     if all_terms:
         hits = hits.where(F.col("terms") == len(words))
     hits = hits.where(F.col("relevance") >= least)
@@ -211,7 +213,13 @@ def _sample_service(compiler, group: Group, scope, found) -> Solutions:
     pattern = Group([t for t in group.parts if not (isinstance(t, Triple) and isinstance(t.p, Term) and t.p.lex.rsplit("#", 1)[-1] in ("limit", "seed", "sampleType"))])
     rows = compiler.group(pattern, scope)
     n, seed = int(_text(p.get("limit"), "100")), int(_text(p.get("seed"), "1"))
-    drawn = rows.df.orderBy(F.rand(seed)).limit(n)
+    kind = (_text(p.get("sampleType")) or "random").rsplit("#", 1)[-1].lower()
+    if kind not in ("even", "random"):
+        raise ValueError(f"unknown type of sample {kind}")
+    if kind == "even":
+        drawn = spaced(rows.df, n, *(k.asc_nulls_first() for v in sorted(rows.variables) for k in rows.val(v).order_keys()))
+    else:
+        drawn = rows.df.orderBy(F.rand(seed)).limit(n)
     return Solutions(drawn, rows.variables, rows.maybe)
 
 
@@ -247,29 +255,43 @@ def _path_service(compiler, group: Group, scope, found) -> Solutions:
 
 
 def _walk_service(compiler, group: Group, scope, found) -> Solutions:
-    """A vertex program as a table function: ``gasClass`` BFS, CC, PR or SSSP, ``linkType``, ``in`` (start), ``out`` and ``out1``."""
+    """A vertex program as a table function.
+
+    ``gasClass`` is BFS, CC, PR, SSSP or FuzzySSSP; ``linkType`` names the
+    predicate of edges, ``linkAttrType`` that of their weights, said of the
+    quoted edge; ``traversalDirection`` is Forward, Reverse or Undirected; ``in``
+    is a start and ``target`` an end (each any number of times), ``maxIterations``
+    a limit on rounds; ``out`` and ``out1`` (BFS: ``out2`` the predecessor) take
+    vertices and states.
+    """
     from . import gas
 
     p = _parameters(group)
+    many = lambda n: sorted({t.o.lex for t in group.parts if isinstance(t, Triple) and isinstance(t.p, Term) and t.p.lex.rsplit("#", 1)[-1] == n and isinstance(t.o, Term)})
     name = (_text(p.get("gasClass")) or "").rsplit(".", 1)[-1].rsplit("#", 1)[-1].upper()
+    way = {"forward": gas.OUT, "reverse": gas.IN, "undirected": gas.ALL}[(_text(p.get("traversalDirection")) or "Forward").lower()]
     edges = gas.edges_of(compiler.graph, _text(p.get("linkType")), scope.graph)
     start = _text(p.get("in"))
+    rounds = int(_text(p["maxIterations"])) if "maxIterations" in p else None
+    xsd = "http://www.w3.org/2001/XMLSchema#"
+    columns = {}
     if name == "BFS":
-        rows, column = gas.bfs(edges, start).where("depth >= 0"), Val(F.col("depth").cast("long"), "literal", "http://www.w3.org/2001/XMLSchema#integer")
+        rows = gas.bfs(edges, start, way, rounds).where("depth >= 0")
+        columns = {"out1": Val(F.col("depth").cast("long"), "literal", xsd + "integer"), "out2": Val(F.col("predecessor"), "iri")}
     elif name == "CC":
-        rows, column = gas.connected_components(edges), Val(F.col("component"), "iri")
+        rows, columns = gas.connected_components(edges), {"out1": Val(F.col("component"), "iri")}
     elif name == "PR":
-        rows, column = gas.pagerank(edges), Val(F.col("rank"), "literal", "http://www.w3.org/2001/XMLSchema#double")
+        rows, columns = gas.pagerank(gas.directed(edges, way), rounds or 20), {"out1": Val(F.col("rank"), "literal", xsd + "double")}
     elif name == "SSSP":
-        rows, column = gas.sssp(edges.withColumn("weight", F.lit(1.0)), start).where("distance is not null"), Val(F.col("distance"), "literal", "http://www.w3.org/2001/XMLSchema#double")
+        weighted = gas.weights_of(compiler.graph, edges, p["linkAttrType"], _text(p.get("linkType")), scope.graph) if "linkAttrType" in p else edges.withColumn("weight", F.lit(1.0))
+        rows, columns = gas.sssp(weighted, start, way, rounds).where("distance is not null"), {"out1": Val(F.col("distance"), "literal", xsd + "double")}
+    elif name == "FUZZYSSSP":
+        rows = gas.fuzzy_sssp(gas.directed(edges, way), many("in"), many("target"), 0)
     else:
         raise ValueError(f"unknown vertex program {name}")
-    values = {}
-    if isinstance(p.get("out"), Var):
-        values[p["out"].name] = Val(F.col("id"), "iri")
-    if isinstance(p.get("out1"), Var):
-        values[p["out1"].name] = column
-    return Solutions.of(rows, values)
+    values = {p["out"].name: Val(F.col("id"), "iri")} if isinstance(p.get("out"), Var) else {}
+    values |= {p[n].name: v for n, v in columns.items() if isinstance(p.get(n), Var)}
+    return Solutions.of(rows, values, {p["out2"].name} if isinstance(p.get("out2"), Var) else set())
 
 
 def _slice_service(compiler, group: Group, scope, found) -> Solutions:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.graphs import AXIOM, EXPLICIT, HISTORY, INFERRED
 from ..terms import RDF, Term
 from .inference import RESOURCE, SAME, Rule, is_
+from .ordering import spaced
 
 KEY = ["s", "p", "o"]
 
@@ -91,9 +92,7 @@ def sample(quads: DataFrame, limit: int, seed: int = 1, even: bool = False) -> D
     """Some statements: at random, or evenly over the order of subjects."""
     if not even:
         return quads.orderBy(F.rand(seed)).limit(limit)
-    rows = quads.count()
-    step = max(1, rows // max(limit, 1))
-    return quads.where(F.pmod(F.xxhash64(*KEY), F.lit(step)) == 0).orderBy("s.lex", "p.lex", "o.lex").limit(limit)
+    return spaced(quads, limit, *(F.col(f"{c}.{f}") for c in KEY for f in ("kind", "lex", "dt", "lang")))
 
 
 def changes_between(changes: DataFrame, begin: float, end: float) -> DataFrame:
@@ -102,7 +101,8 @@ def changes_between(changes: DataFrame, begin: float, end: float) -> DataFrame:
 
 
 def as_of(changes: DataFrame, when: float) -> DataFrame:
-    """The told statements at a moment, from the change log alone."""
+    """The told statements at a moment, from the change log alone; one update removes before it adds."""
     before = changes.where(F.col("ts") <= when)
-    last = before.groupBy("s", "p", "o", F.to_json("g").alias("k")).agg(F.max_by("action", "ts").alias("action"), F.max_by("g", "ts").alias("g"))
+    order = F.struct("ts", F.col("action") == "added")
+    last = before.groupBy("s", "p", "o", F.to_json("g").alias("k")).agg(F.max_by("action", order).alias("action"), F.max_by("g", order).alias("g"))
     return last.where("action = 'added'").select("s", "p", "o", "g")

@@ -48,7 +48,7 @@ class QuadStore:
         self.close, self.entailing = entailments or inference.full_closure, False
         self.listeners: list[Callable[[DataFrame], None]] = []
         self.prefixes = prefixes or {}
-        self.version, self.parts = 0, 1
+        self.version, self.parts, self.logged = 0, 1, 0
         self.counts: dict[str, int] = {}
         self._described: tuple[int, dict[Term, DataFrame]] = (0, {})
 
@@ -125,8 +125,10 @@ class QuadStore:
         self.version += 1
         stamp = F.lit(time.time()).alias("ts")
         for part in log:
-            rows = part.select(stamp, "action", *_KEY)
-            self.changes = written(self.changes.union(rows))
+            rows = written(part.select(stamp, "action", *_KEY))
+            # The log grows by parts; many of them become one.
+            self.logged = self.logged % PARTS + 1
+            self.changes = self.changes.union(rows) if self.logged < PARTS else written(self.changes.union(rows))
             for listener in self.listeners:
                 listener(rows)
 
