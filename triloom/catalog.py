@@ -1,9 +1,8 @@
 """Registered queries of the graph engine over the driver's tables, with DuckDB equivalents.
 
-Every query runs over whole tables, but ``gas_connected_components``, whose SQL
-holds one part in seven (``gas_connected_components_whole`` takes all).  Names
-say what the query shows; a query without SQL is not deterministic, has no SQL
-form, or has one that is too slow on whole tables.
+Every query runs over whole tables.  Names say what the query shows; a query
+without SQL is not deterministic, has no SQL form, or has one that is too slow on
+whole tables.
 """
 
 from __future__ import annotations
@@ -50,7 +49,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Queries by name."""
-    from . import catalog_graph, catalog_tables  # noqa: F401  they register themselves
+    from . import catalog_graph, catalog_more, catalog_tables  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

@@ -61,13 +61,23 @@ add("quads_typed_aggregate", lambda s, d: _over_quads(s, d, "SELECT ?s (COUNT(?b
 add("quads_order", lambda s, d: _over_quads(s, d, "SELECT ?o WHERE { ?x :n_nationkey|:n_name ?o } ORDER BY ?o LIMIT 10", "nation"), "SELECT n_name AS o FROM nation ORDER BY n_name LIMIT 10")
 
 add("path_event_closure", lambda s, d: closure(written(event_edges(s, d).select(F.col("src").alias("s"), F.col("dst").alias("o"))), 1, None), "WITH RECURSIVE n AS (SELECT user_id, event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events), e AS (SELECT DISTINCT s, o FROM n WHERE o IS NOT NULL), r AS (SELECT s, o FROM e UNION SELECT r.s, e.o FROM r JOIN e ON r.o = e.s) SELECT s, o FROM r")
-add("gas_bfs", lambda s, d: gas.bfs(trade_edges(s, d), 3, gas.ALL, 6).select("id", "depth"), f"WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT 3::BIGINT AS id, 0 AS depth UNION SELECT b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.id WHERE r.depth < 6) SELECT v.id, coalesce(min(r.depth), -1) AS depth FROM v LEFT JOIN r USING (id) GROUP BY 1")
-add("gas_connected_components", lambda s, d: gas.connected_components(trade_edges(s, d).where("dst % 7 = 0")), "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst FROM lineitem WHERE (l_partkey * 2) % 7 = 0), b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, id AS component FROM v UNION SELECT b.dst, r.component FROM r JOIN b ON b.src = r.id) SELECT id, min(component) AS component FROM r GROUP BY 1")
-# The SQL above holds parts divisible by 7 only; this one takes every edge and has no SQL, as its pairs of vertices and components grow with the square of the vertices.
-add("gas_connected_components_whole", lambda s, d: gas.connected_components(trade_edges(s, d)))
-add("gas_pagerank", lambda s, d: gas.pagerank(trade_edges(s, d), 2).select("id", F.round("rank", 9).alias("rank")), f"WITH {_TRADE}, o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT v.id, CASE WHEN count(e.src) = 0 THEN 0.15 ELSE 0.15 + 0.85 * sum(0.15 / o.n) END AS rank FROM v LEFT JOIN e ON e.dst = v.id LEFT JOIN o ON o.src = e.src GROUP BY 1) SELECT id, round(rank, 9) AS rank FROM r")
+add("gas_bfs", lambda s, d: gas.bfs(trade_edges(s, d), 3, gas.ALL).select("id", "depth"), f"WITH RECURSIVE {_TRADE}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT 3::BIGINT AS id, 0 AS depth UNION SELECT b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.id WHERE r.depth < 8) SELECT v.id, coalesce(min(r.depth), -1) AS depth FROM v LEFT JOIN r USING (id) GROUP BY 1")
+
+def _spread_components(rounds: int) -> str:
+    """SQL that gives each vertex the smallest number within so many steps; these graphs are four steps wide."""
+    steps = [f"c{k + 1} AS (SELECT c.id, least(any_value(c.component), min(coalesce(o.component, c.component))) AS component FROM c{k} c LEFT JOIN b ON b.src = c.id LEFT JOIN c{k} o ON o.id = b.dst GROUP BY 1)" for k in range(rounds)]
+    return f"WITH {_TRADE}, b AS (SELECT src, dst FROM e UNION ALL SELECT dst, src FROM e), c0 AS (SELECT DISTINCT src AS id, src AS component FROM b), {', '.join(steps)} SELECT id, component FROM c{rounds}"
+
+
+def _ranked(rounds: int) -> str:
+    steps = [f"r{k + 1} AS (SELECT v.id, CASE WHEN count(e.src) = 0 THEN any_value(v.rank) ELSE 0.15::DOUBLE + 0.85::DOUBLE * sum(f.rank / o.n) END AS rank FROM r{k} v LEFT JOIN e ON e.dst = v.id LEFT JOIN o ON o.src = e.src LEFT JOIN r{k} f ON f.id = e.src GROUP BY 1)" for k in range(rounds)]
+    return f"WITH {_TRADE}, o AS (SELECT src, count(*) AS n FROM e GROUP BY 1), r0 AS (SELECT id, 0.15::DOUBLE AS rank FROM (SELECT src AS id FROM e UNION SELECT dst FROM e)), {', '.join(steps)} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+add("gas_connected_components", lambda s, d: gas.connected_components(trade_edges(s, d)), _spread_components(8))
+add("gas_pagerank", lambda s, d: gas.pagerank(trade_edges(s, d)).select("id", F.round("rank", 9).alias("rank")), _ranked(20))
 add("gas_shortest_paths", lambda s, d: gas.sssp(_table(s, d, "nation").select(F.lit(-1).alias("src"), F.col("n_regionkey").alias("dst"), F.lit(1.0).alias("weight")).distinct().union(_table(s, d, "nation").select("n_regionkey", F.col("n_nationkey") + 100, F.col("n_nationkey").cast("double"))), -1), "SELECT -1 AS id, 0.0::DOUBLE AS distance UNION ALL SELECT DISTINCT n_regionkey, 1.0 FROM nation UNION ALL SELECT n_nationkey + 100, 1.0 + n_nationkey FROM nation")
-add("gas_fuzzy_paths", lambda s, d: gas.fuzzy_sssp(event_edges(s, d), ["click"], ["purchase"], 0))
+add("gas_fuzzy_paths", lambda s, d: gas.fuzzy_sssp(event_edges(s, d), ["click"], ["purchase"], 0), "WITH n AS (SELECT event_type AS s, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS o FROM events), e AS (SELECT DISTINCT s, o FROM n WHERE o IS NOT NULL) SELECT unnest(['click', 'purchase']) AS id FROM e WHERE s = 'click' AND o = 'purchase' UNION SELECT unnest(['click', 'purchase', b.s]) FROM e a JOIN e b ON a.o = b.s AND a.s = 'click' AND b.o = 'purchase' WHERE NOT EXISTS (SELECT 1 FROM e WHERE s = 'click' AND o = 'purchase')")
 
 
 _STOP = ", ".join(f"'{w}'" for w in services.STOP_WORDS)
@@ -89,7 +99,7 @@ _PLACES = "p AS (SELECT c_custkey, (c_custkey % 120 - 60)::DOUBLE AS lat, (c_cus
 add("geo_rectangle", lambda s, d: _places(s, d).where(services.in_rectangle(F.col("lat"), F.col("lon"), 10, -20, 50, 40)).select("c_custkey"), f"WITH {_PLACES} SELECT c_custkey FROM p WHERE lat BETWEEN 10 AND 50 AND lon BETWEEN -20 AND 40")
 add("geo_circle", lambda s, d: _places(s, d).where(services.in_circle(F.col("lat"), F.col("lon"), 10.0, 20.0, 2500.0)).select("c_custkey"), f"WITH {_PLACES} SELECT c_custkey FROM p WHERE degrees(acos(least(1, greatest(-1, sin(radians(lat)) * sin(radians(10)) + cos(radians(lat)) * cos(radians(10)) * cos(radians(lon - 20)))))) * 60 * 1.1515 * 1609.344 / 1000 <= 2500")
 add("geo_distance", lambda s, d: _places(s, d).select("c_custkey", F.round(services.distance(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0), "Miles"), 4).alias("miles")), f"WITH {_PLACES} SELECT c_custkey, CASE WHEN lat = 10 AND lon = 20 THEN 0.0 ELSE round(degrees(acos(least(1, greatest(-1, sin(radians(lat)) * sin(radians(10)) + cos(radians(lat)) * cos(radians(10)) * cos(radians(lon - 20)))))) * 60 * 1.1515, 4) END AS miles FROM p")
-add("geo_z_order", lambda s, d: _places(s, d).select("c_custkey", services.z_order(F.col("lat") + 60, F.col("lon") + 150, bits=2).alias("z")), f"WITH {_PLACES}, q AS (SELECT c_custkey, (lat + 60)::BIGINT AS a, (lon + 150)::BIGINT AS b FROM p) SELECT c_custkey, (a & 1) | ((b & 1) << 1) | (((a >> 1) & 1) << 2) | (((b >> 1) & 1) << 3) AS z FROM q")
+add("geo_z_order", lambda s, d: _places(s, d).select("c_custkey", services.z_order(F.col("lat") + 60, F.col("lon") + 150).alias("z")), f"WITH {_PLACES}, q AS (SELECT c_custkey, (lat + 60)::BIGINT AS a, (lon + 150)::BIGINT AS b FROM p) SELECT c_custkey, {' | '.join(f'(((a >> {k}) & 1) << {2 * k}) | (((b >> {k}) & 1) << {2 * k + 1})' for k in range(16))} AS z FROM q")
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.algebra import Call, Exists, Quoted, Var
-from ..terms import BNODE, BOOLEAN, DATE, DATETIME, DECIMAL, IRI, LANGSTRING, LITERAL, OF_RANK, RANK, STATEMENT, STRING, XSD, Term, Val, make_term, null_term, of_constant, plain_number
+from ..terms import BNODE, BOOLEAN, DATE, DATETIME, DECIMAL, IRI, LANGSTRING, LITERAL, OF_RANK, RANK, STATEMENT, STRING, XSD, Term, Val, constant, make_term, null_term, of_constant, plain_number
 
 Builder = Callable[..., Val]
 #: Functions by IRI, added with ``register``.
@@ -82,6 +82,9 @@ class Evaluator:
             return special(e.args)
         if e.name not in FUNCTIONS:
             raise ValueError(f"unknown function {e.name}")
+        if e.name in ("TZ", "TIMEZONE", "STR"):
+            # A constant keeps its zone in its lexical form only.
+            return FUNCTIONS[e.name](*(Val(constant(a)) if isinstance(a, Term) and a.dt == DATETIME else self.val(a) for a in e.args))
         return FUNCTIONS[e.name](*(self.val(a) for a in e.args))
 
     def ebv(self, e: object) -> Column:

@@ -241,7 +241,9 @@ def _parse(kind: str):
         for batch in batches:
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows = []
-                for q in PARSERS[kind](content.decode(), path):
+                # The names of a GraphML file are its own, not relative to its place.
+                text = content.decode()
+                for q in PARSERS[kind](text) if kind == "graphml" else PARSERS[kind](text, path):
                     rows.append({n: cell(t) for n, t in zip("spog", q, strict=True)} | {"st": EXPLICIT})
                     if len(rows) == 10_000:
                         yield pa.RecordBatch.from_pylist(rows, schema)
