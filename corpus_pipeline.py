@@ -17,7 +17,12 @@ from triloom.llm.store import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without rows whose language is undetermined or in doubt."""
+    """Without rows whose language is undetermined or in doubt.
+
+    Null and empty texts and texts without letters are undetermined; repeated
+    rows stay or go together; without a labelled row, or from an empty table,
+    nothing is left.  Other columns are kept as they are.
+    """
     return langid.keep_known(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -27,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     It is that with the smallest id; rows without an id come last.  Rows, not
     ids, are compared: equal rows are one node and leave one row, rows that
     share an id or have none are nodes of their own.  Rows without words link
-    with nothing and all stay.
+    with nothing and all stay.  Of ties one stays, whichever, as they are equal.
+    An empty table stays empty.  Other columns take part in telling rows apart.
     """
     # Nulls don't change the hash, so it is told where they are.
     key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
@@ -42,18 +48,30 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without benchmark passages, and without rows that are mostly such."""
+    """Without benchmark passages, and without rows that are mostly such.
+
+    Null and empty texts share nothing with the benchmark and stay; repeated
+    rows are treated alike; with an empty benchmark all rows stay untouched.
+    """
     clean = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """With personal data replaced by its kind."""
+    """With personal data replaced by its kind.
+
+    All rows stay; null, empty and clean texts are untouched; repeated rows are
+    treated alike.
+    """
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A draw of rows whose sources, languages and topics have the target weights."""
+    """A draw of rows whose sources, languages and topics have the target weights.
+
+    A null source or language is a class of its own; rows without words are never
+    drawn; rows that share an id share their draw.
+    """
     return mixing.mixed(docs)
 
 
