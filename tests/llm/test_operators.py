@@ -591,7 +591,7 @@ def brute_vectors(rows, least=0.95):
 @pytest.mark.parametrize("block", [2048, 20])
 def test_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
-    monkeypatch.setattr(vectors, "CELL", block)
+    monkeypatch.setattr(vectors, "CELLS", (block // 4, block))
     monkeypatch.setattr(vectors, "BATCH", 16)
     r = np.random.default_rng(9)
     rows = [v.tolist() for v in r.standard_normal((120, 8))]
@@ -604,6 +604,19 @@ def test_vectors(spark, monkeypatch, block):
     assert vectors.near_duplicates(table(spark, [], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_clustered_vectors_meet_few_others():
+    """Copies of points to cells grow with the points, not with their square, where they lie in clusters."""
+    eps, copies = np.arccos(0.95), []
+    for n in (4000, 16_000):
+        r = np.random.default_rng(1)
+        centres = r.standard_normal((n // 250, 64))
+        points = centres[r.integers(0, len(centres), n)] + r.standard_normal((n, 64)) * 0.1
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        pivots = vectors.best_pivots(points[: vectors.SAMPLE], n, eps)
+        copies.append(vectors._reach(points @ pivots.T, vectors._apart(pivots), eps)[1].sum())
+    assert np.log(copies[1] / copies[0]) / np.log(4) < 1.3
+
+
 # --- 10
 
 
