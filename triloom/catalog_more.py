@@ -6,7 +6,7 @@ import hashlib
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import add, ask
@@ -25,7 +25,11 @@ from .store_quads import QuadStore, quad_rows
 from .terms import OWL, RDF, RDFS, TERM_DDL, Val, iri, literal
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
-_LEX = [F.col(f"{x}.lex").alias(x) for x in "spo"]
+
+
+def _lex() -> list[Column]:
+    """The three terms by their lexical forms."""
+    return [F.col(f"{x}.lex").alias(x) for x in "spo"]
 
 
 def _scratch(spark: SparkSession, ending: str) -> str:
@@ -56,7 +60,7 @@ ask("join_exists_value_unbound", f"SELECT ?c (EXISTS {_SIDE} AS ?e) WHERE {_LEFT
 # --- statements
 
 add("statements_fused_view", lambda s, d: _count(st.fused_view(quads(s, d, "nation"), quads(s, d, "nation", "region")), "p"), f"SELECT p, count(*) AS n FROM (SELECT unnest(['{NS}n_nationkey', '{NS}n_name', '{NS}n_regionkey', '{NS}n_region', '{RDF}type']) AS p FROM nation UNION ALL SELECT unnest(['{NS}r_regionkey', '{NS}r_name', '{RDF}type']) FROM region) GROUP BY 1")
-add("statements_without_graph", lambda s, d: st.strip_graph(quads(s, d, "region", "region")).distinct().select(*_LEX).where(F.col("p") == NS + "r_name"), f"SELECT '{ID}region/' || r_regionkey AS s, '{NS}r_name' AS p, r_name AS o FROM region")
+add("statements_without_graph", lambda s, d: st.strip_graph(quads(s, d, "region", "region")).distinct().select(*_lex()).where(F.col("p") == NS + "r_name"), f"SELECT '{ID}region/' || r_regionkey AS s, '{NS}r_name' AS p, r_name AS o FROM region")
 add("statements_distinct", lambda s, d: _count(st.distinct_statements(quads(s, d, "region").union(quads(s, d, "region").withColumn("g", F.lit(None)))), "p"), f"SELECT p, count(*) AS n FROM (SELECT unnest(['{NS}r_regionkey', '{NS}r_name', '{RDF}type']) AS p FROM region) GROUP BY 1")
 
 
@@ -72,14 +76,14 @@ add("statements_present", lambda s, d: _count(st.present(quads(s, d, "nation", "
 add("statements_absent", lambda s, d: _count(st.present(quads(s, d, "nation", "region"), quads(s, d, "nation"), False), "p"), f"SELECT p, count(*) AS n FROM (SELECT unnest(['{NS}r_regionkey', '{NS}r_name', '{RDF}type']) AS p FROM region) GROUP BY 1")
 add("statements_complete", lambda s, d: st.complete(quads(s, d, "nation", "region"), quads(s, d, "region")).groupBy(F.col("st").isNotNull().alias("known")).agg(F.count(F.lit(1)).alias("n")), "SELECT true AS known, 3 * count(*) AS n FROM region UNION ALL SELECT false, 5 * count(*) FROM nation")
 add("statements_star", lambda s, d: st.star(quads(s, d, "nation", "region"), [NS + "n_name", NS + "n_nationkey"]).select(F.col("s.lex").alias("s"), F.col("o0")[0]["lex"].alias("name"), F.col("o1")[0]["lex"].cast("long").alias("k")), f"SELECT '{ID}nation/' || n_nationkey AS s, n_name AS name, n_nationkey AS k FROM nation")
-add("statements_sample_even", lambda s, d: st.sample(quads(s, d, "nation").where(F.col("p.lex") == NS + "n_name"), 7, even=True).select(*_LEX), f"SELECT s, p, o FROM (SELECT '{ID}nation/' || n_nationkey AS s, '{NS}n_name' AS p, n_name AS o, row_number() OVER (ORDER BY '{ID}nation/' || n_nationkey) AS i, count(*) OVER () AS w FROM nation) WHERE floor(i * 7 / w) <> floor((i - 1) * 7 / w)")
+add("statements_sample_even", lambda s, d: st.sample(quads(s, d, "nation").where(F.col("p.lex") == NS + "n_name"), 7, even=True).select(*_lex()), f"SELECT s, p, o FROM (SELECT '{ID}nation/' || n_nationkey AS s, '{NS}n_name' AS p, n_name AS o, row_number() OVER (ORDER BY '{ID}nation/' || n_nationkey) AS i, count(*) OVER () AS w FROM nation) WHERE floor(i * 7 / w) <> floor((i - 1) * 7 / w)")
 add("statements_without_trivial", lambda s, d: _count(st.without_trivial(quads(s, d, "region").select("s", "p", "o").union(quad_rows(s, [(iri("urn:a"), iri(OWL + "sameAs"), iri("urn:a")), (iri("urn:a"), iri(OWL + "sameAs"), iri("urn:b")), (iri("urn:a"), iri(RDF + "type"), iri(RDFS + "Resource"))]).select("s", "p", "o"))), "p"), f"SELECT p, count(*) AS n FROM (SELECT unnest(['{NS}r_regionkey', '{NS}r_name', '{RDF}type']) AS p FROM region UNION ALL SELECT '{OWL}sameAs') GROUP BY 1")
 
 
 def _proofs(spark: SparkSession, d: str) -> DataFrame:
     told = _typed(spark, d)
     found = st.supported(inference.fast_closure(told), told, [("rdfs7", inference.rdfs7), ("rdfs9", inference.rdfs9), ("rdfs3", inference.rdfs3)])
-    return found.where((F.col("p.lex") == NS + "within") | (F.col("o.lex") == NS + "Thing") & (F.col("p.lex") == RDF + "type")).select(*_LEX, F.array_join("rules", ",").alias("rules"))
+    return found.where((F.col("p.lex") == NS + "within") | (F.col("o.lex") == NS + "Thing") & (F.col("p.lex") == RDF + "type")).select(*_lex(), F.array_join("rules", ",").alias("rules"))
 
 
 add("statements_proofs", _proofs, f"SELECT '{ID}nation/' || n_nationkey AS s, '{NS}within' AS p, '{ID}region/' || n_regionkey AS o, 'rdfs7' AS rules FROM nation UNION ALL SELECT '{ID}nation/' || n_nationkey, '{RDF}type', '{NS}Thing', 'rdfs9' FROM nation UNION ALL SELECT '{ID}region/' || r_regionkey, '{RDF}type', '{NS}Thing', 'rdfs9' FROM region")
@@ -218,7 +222,7 @@ def _owl(spark: SparkSession, d: str) -> DataFrame:
     t = quads(spark, d, "nation", "region").select("s", "p", "o").union(quad_rows(spark, [(*q, None) for q in schema]).select("s", "p", "o"))
     closed = inference.fixpoint(t, [*inference.OWL_RULES, inference.rdfs7, inference.rdfs9])
     wanted = F.col("p.lex").isin(*(NS + x for x in ("holds", "lies", "near", "part"))) | (F.col("o.lex").isin(NS + "Asian", NS + "Land") & (F.col("p.lex") == RDF + "type")) | ((F.col("p.lex") == OWL + "sameAs") & F.col("s.lex").startswith(NS))
-    return closed.where(wanted).select(*_LEX)
+    return closed.where(wanted).select(*_lex())
 
 
 add("inference_owl", _owl, f"""
@@ -254,7 +258,7 @@ add("inference_retract", _retracted, _ENTAILED)
 def _same_as(spark: SparkSession, d: str) -> DataFrame:
     same = quad_rows(spark, [(iri(ID + f"region/{k}"), iri(OWL + "sameAs"), iri(f"urn:aa:region/{k}"), None) for k in range(3)]).select("s", "p", "o")
     seen = inference.same_as_expanded(quads(spark, d, "nation").select("s", "p", "o").union(same))
-    return seen.where(F.col("p.lex") == NS + "n_region").select(*_LEX)
+    return seen.where(F.col("p.lex") == NS + "n_region").select(*_lex())
 
 
 add("inference_same_as_at_query", _same_as, f"SELECT '{ID}nation/' || n_nationkey AS s, '{NS}n_region' AS p, CASE WHEN n_regionkey < 3 THEN 'urn:aa:region/' ELSE '{ID}region/' END || n_regionkey AS o FROM nation")
@@ -265,7 +269,7 @@ def _custom_rule(spark: SparkSession, d: str) -> DataFrame:
         a = t.where(F.col("p.lex") == NS + "n_region").select("s", F.col("o").alias("m"))
         return a.join(t.where(F.col("p.lex") == NS + "r_name").select(F.col("s").alias("m"), "o"), "m").select("s", F.struct(F.lit(3).cast("tinyint").alias("kind"), F.lit(NS + "region_name").alias("lex"), F.lit(None).cast("string").alias("dt"), F.lit(None).cast("string").alias("lang")).alias("p"), "o")
 
-    return inference.fixpoint(quads(spark, d, "nation", "region"), [rule]).where(F.col("p.lex") == NS + "region_name").select(*_LEX)
+    return inference.fixpoint(quads(spark, d, "nation", "region"), [rule]).where(F.col("p.lex") == NS + "region_name").select(*_lex())
 
 
 add("inference_custom_rule", _custom_rule, f"SELECT '{ID}nation/' || n_nationkey AS s, '{NS}region_name' AS p, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey")
