@@ -57,16 +57,16 @@ FOR = r"(?i)(?:mail|contact|kontakt|correo|courriel|tel|phone|call|anruf|fax|mob
 AGAINST = r"(?i)(?:version|isbn|issn|order|page|seite|article|section|build|release|doi|no|nr)[\x20:.#=]*$"
 
 LABELERS = ["valid", "gazetteer", "context", "shape"]
-#: Chances of the votes +, - and 0 at first, given personal data and given none; how many candidates that counts for; and the share of personal data among candidates.
+#: Chances of the votes +, - and 0 at first, given personal data and given none; how many candidates that counts for, and what share of all: where all candidates look alike, votes alone tell nothing; and the share of personal data among candidates.
 START = {
     "valid": {True: (0.75, 0.05, 0.2), False: (0.05, 0.75, 0.2)},
     "gazetteer": {True: (0.7, 0.1, 0.2), False: (0.3, 0.5, 0.2)},
     "context": {True: (0.3, 0.02, 0.68), False: (0.05, 0.3, 0.65)},
     "shape": {True: (0.7, 0.1, 0.2), False: (0.5, 0.3, 0.2)},
 }
-HELD, BALANCE = 20.0, 0.5
+HELD, SHARE, BALANCE = 20.0, 0.3, 0.5
 #: Classes of the word before a span; rounds of training, step size and decay.
-WORDS, ROUNDS, RATE, DECAY = 32, 15, 1.0, 1e-3
+WORDS, ROUNDS, RATE, DECAY = 32, 30, 1.0, 1e-3
 #: Code points of a block of text that pieces are taken from.
 BLOCK = 1024
 
@@ -218,9 +218,10 @@ class LabelModel:
         soft = {p: self.posterior(p) for p in self.counts}
         for kind in KINDS:
             own = {p: n for p, n in self.counts.items() if p.startswith(f"{kind}:")}
+            total = sum(own.values())
             for j, name in enumerate(LABELERS):
                 for truth in (True, False):
-                    held = {v: c * HELD for v, c in zip("+-0", START[name][truth], strict=True)}
+                    held = {v: c * (HELD + SHARE * total) for v, c in zip("+-0", START[name][truth], strict=True)}
                     for p, n in own.items():
                         held[p[len(kind) + 1 + j]] += n * (soft[p] if truth else 1 - soft[p])
                     whole = sum(held.values())
