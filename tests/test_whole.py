@@ -21,5 +21,5 @@ def test_components_of_all_edges(spark, tmp_path):
             if x not in want:
                 want[x] = v
                 todo += near[x]
-    got = entry.queries()["gas_connected_components_whole"](spark, str(tmp_path)).collect()
+    got = entry.queries()["gas_connected_components"](spark, str(tmp_path)).collect()
     assert len(got) == len(want) == 9 and {r.id: r.component for r in got} == want
