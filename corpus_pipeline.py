@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from triloom.llm import decontaminate, jaccard, langid, mixing, pii
@@ -37,14 +37,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     # Nulls don't change the hash, so it is told where they are.
     key = F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns))
-    rows = docs.withColumn("row_key", key)
+    rows = docs.select(key.alias("row_key"), "doc_id", "text", F.struct(*docs.columns).alias("row"))
     groups = jaccard.similar_groups(rows, id_col="row_key", words=5, percent=80)
-    ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"))
+    ids = rows.groupBy("row_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
     nodes = groups.groupBy("row_key").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")).join(ids, "row_key")
-    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", "n_shingles")).alias("best")
-    kept = nodes.groupBy("component_id").agg(best).select("best.row_key", "best.n_shingles")
-    copy = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    return rows.join(kept, "row_key").withColumn("copy", copy).where("copy = 1 or n_shingles = 0").select(docs.columns)
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row_key", (F.col("copies") > 1).alias("equal"), "n_shingles")).alias("best")
+    kept = written(nodes.groupBy("component_id").agg(best).select("best.row_key", (F.col("best.equal") & (F.col("best.n_shingles") > 0)).alias("repeated")))
+    # Equal rows are merged where they are before they are sent, however many they are.
+    lone = rows.join(kept.where("not repeated"), "row_key").select("row.*")
+    merged = rows.join(kept.where("repeated"), "row_key").select("row.*").distinct()
+    return lone.union(merged)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
