@@ -64,3 +64,20 @@ def test_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{folder}/benchmark.parquet")
+    extra = ["row", "row_key", "copy", "copies", "n_shingles", "component_id", "id", "place", "spans", "score", "probability", "kept"]
+    text = spark.read.parquet(f"{SF}/documents.parquet").where("lang = 'en' and n_chars between 600 and 3000").first().text
+    base = spark.createDataFrame([(1, text, "en", "p", 1), (1, text, "en", "p", 1), (2, text, "en", "p", 1), (3, "", "en", "p", 0), (3, "", "en", "p", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in extra:
+        base = base.selectExpr("*", f"concat('{name} ', doc_id) as {name}")
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, base, folder)
+        assert got.columns == base.columns
+        rows = got.collect()
+        assert all(r[c] == f"{c} {r.doc_id}" for r in rows for c in extra)
+        if name == "near_duplicates":
+            assert sorted(r.doc_id for r in rows) == [1, 3, 3]
