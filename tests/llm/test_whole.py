@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from triloom.llm import lm
+from tests.llm.test_operators import brute_groups
+from triloom.llm import jaccard, lm
 from triloom.llm.text import NON_SPACE, scan
 
 
@@ -18,6 +19,47 @@ def table(spark, rows, kind="doc_id long, text string"):
     return spark.createDataFrame(rows, kind)
 
 
+# --- 4
+
+
+def traversed(monkeypatch):
+    """The members of each round of blocks, as they are counted."""
+    seen, real = [], jaccard._traverse
+
+    def watched(members, *rest):
+        seen.append(members.groupBy("block").count().collect())
+        return real(members, *rest)
+
+    monkeypatch.setattr(jaccard, "_traverse", watched)
+    return seen
+
+
+def test_texts_with_a_common_line_do_not_meet_for_it(spark, monkeypatch):
+    line = lambda k: " ".join(f"line{k}x{j}" for j in range(8))
+    texts = [" ".join([*(f"w{i}x{j}" for j in range(12)), line(i % 400)]) for i in range(6000)]
+    texts += [f"{texts[i]} more" for i in range(0, 6000, 1000)]
+    seen = traversed(monkeypatch)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(table(spark, list(enumerate(texts))), words=4, percent=85).collect()}
+    assert got == {i: i if i < 6000 else (i - 6000) * 1000 for i in range(len(texts))}
+    assert sum(r["count"] for r in seen[0]) < 100
+
+
+def test_few_members_outside_a_large_component_meet_it_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    base = [f"w{j}" for j in range(200)]
+    near = [" ".join([*base, f"end{i}"]) for i in range(600)]
+    # One word of 29 is another: similarities of about 0.75.
+    far = [" ".join(f"far{i}x{j}" if j % 29 == 0 else w for j, w in enumerate(base)) for i in range(12)]
+    texts = [*near, *far, far[0].replace("w5 ", "other ")]
+    monkeypatch.setattr(jaccard, "LEAST", 1 << 30)
+    seen = traversed(monkeypatch)
+    docs = table(spark, list(enumerate(texts)))
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs, words=4, percent=85).collect()}
+    assert got == brute_groups(texts, 4, 85)[1]
+    assert len(seen) == 2 and sum(r["count"] for r in seen[1]) < 4 * len(texts)
+    assert max(r["count"] for r in seen[1]) <= 2 * jaccard.BLOCK
+
+
 # --- 10
 
 

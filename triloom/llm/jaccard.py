@@ -18,11 +18,13 @@ a threshold.  The join is exact and never meets all pairs of a group:
    whose members are connected already, and verifies leaf pairs on the whole
    sets.  A block reports the links that connect it, at most one per member.
 4. Blocks of more than ``BLOCK`` members are cut into chunks that all hold the
-   leader.  After the chunks' links are joined, the smaller components of a cut
-   block meet all of its chunks, so no link between chunks is lost.
+   leader.  After the chunks' links are joined, the members of the smaller
+   components of a cut block, in groups of a chunk's size, meet all of its
+   members, so no link between chunks is lost; texts of members that can only
+   link within their component are not sent again.
 
-Elements that are frequent in a sample of the texts only move to the end of the
-order; every element and row takes part.
+Elements met several times in a sample of the texts only move to the end of the
+order, the more frequent the later; every element and row takes part.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ from .text import NON_SPACE, grams, mix, scan, slices
 
 #: Most members and set elements of a block that one tree holds.
 BLOCK, BLOCK_ELEMENTS = 1024, 1 << 21
-#: Texts that show which elements are frequent, and the most of these that are kept.
-SAMPLE, FREQUENT = 4096, 50_000
+#: Texts that show which elements are frequent, in how many of them one is met that is, and the most of these that are kept.
+SAMPLE, LEAST, FREQUENT = 16384, 3, 200_000
 #: Block members, of some 60 bytes each, that may be broadcast.
 FEW = 50_000
 
@@ -62,14 +64,14 @@ def text_sets(column: pa.Array, words: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(elements: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The elements of which a linking set must share one."""
+def prefix(elements: np.ndarray, percent: int, frequent: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The elements of which a linking set must share one: the first by class (0 if not ``frequent``) and hash."""
     n = len(elements)
     keep = n - (percent * n + 99) // 100 + 1
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, elements), len(frequent) - 1)
-        often = frequent[at] == elements
-        elements = np.concatenate([elements[~often], elements[often]])
+        often = np.where(frequent[at] == elements, classes[at], 0)
+        elements = elements[np.argsort(often, kind="stable")]
     return elements[:keep]
 
 
@@ -100,13 +102,13 @@ def _fingerprint(elements: np.ndarray, row_id) -> bytes:
     return b"1" + len(elements).to_bytes(6, "big") + int(a).to_bytes(8, "big") + int(b).to_bytes(8, "big")
 
 
-def _describe(words: int, percent: int, frequent: np.ndarray):
+def _describe(words: int, percent: int, frequent: np.ndarray, classes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low, high in slices(batch.column(1)):
                 ids = batch.column(0).slice(low, high - low)
                 sets = text_sets(batch.column(1).slice(low, high - low), words)
-                heads = [prefix(s, percent, frequent).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                heads = [prefix(s, percent, frequent, classes).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 offsets = np.cumsum([0, *map(len, heads)])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -132,10 +134,9 @@ def _tokens(words: int):
     return run
 
 
-def frequent_elements(texts: DataFrame, words: int, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
-    """Elements met in over 0.4 % of about ``sample`` texts, ``most`` at the most."""
+def frequent_elements(texts: DataFrame, words: int, sample: int = SAMPLE, least: int = LEAST, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Elements met in ``least`` of about ``sample`` texts or more, ``most`` at the most, and the bits of each one's count."""
     some = some_rows(texts, sample, F.col("id")).select("text")
-    least = max(8, sample // 256)
     found = (
         some.mapInArrow(_tokens(words), "token long")
         .groupBy("token")
@@ -143,9 +144,12 @@ def frequent_elements(texts: DataFrame, words: int, sample: int = SAMPLE, most:
         .where(F.col("count") >= least)
         .orderBy(F.desc("count"), "token")
         .limit(most)
-        .select("token")
+        .collect()
     )
-    return np.sort(np.array([r[0] for r in found.collect()], np.int64).view(np.uint64))
+    hashes = np.array([r[0] for r in found], np.int64).view(np.uint64)
+    classes = np.array([r[1].bit_length() for r in found], np.uint8)
+    order = np.argsort(hashes)
+    return hashes[order], classes[order]
 
 
 def _leaders(percent: int):
@@ -232,23 +236,24 @@ class SignatureTree:
                 continue
             yield from zip(x[ok].tolist(), y[ok].tolist(), strict=True)
 
+    def together(self, a: slice, b: slice) -> bool:
+        """Whether the leaves of two nodes all have one label."""
+        own, other = self.label[a], self.label[b]
+        return bool(own.min() == own.max() == other.min() == other.max())
+
     def connect(self) -> Iterator[tuple[int, int]]:
         """Links (places in the given list) that connect what is not connected by ``label``."""
-
-        def together(a: slice, b: slice) -> bool:
-            own, other = self.label[a], self.label[b]
-            return own.min() == own.max() == other.min() == other.max()
-
-        for p, q in self.pairs(together):
+        for p, q in self.pairs(self.together):
             if self.label[p] != self.label[q] and self.linked(p, q):
                 self.label[self.label == self.label[q]] = self.label[p]
                 yield int(self.order[p]), int(self.order[q])
 
     def hopeful(self) -> np.ndarray:
-        """Places of the sets that may link with another, by bitmaps alone."""
+        """Places of the sets that may link with one of another label, by bitmaps alone."""
         found = np.zeros(len(self.sizes), bool)
-        for p, q in self.pairs(lambda a, b: bool(found[a].all() and found[b].all())):
-            found[p] = found[q] = True
+        for p, q in self.pairs(lambda a, b: bool(found[a].all() and found[b].all()) or self.together(a, b)):
+            if self.label[p] != self.label[q]:
+                found[p] = found[q] = True
         return self.order[found]
 
 
@@ -259,14 +264,17 @@ def bands(sizes: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(sizes, 1)) / (-np.log(percent / 100) * (1 + 1e-6))).astype(np.int64)
 
 
-def hopeful(sizes: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
-    """Places of the sets that may link with another, by a tree for each two neighbouring bands."""
+def hopeful(sizes: np.ndarray, bits: list[np.ndarray], percent: int, labels: np.ndarray | None = None) -> np.ndarray:
+    """Places of the sets that may link with one of another label, by a tree for each two neighbouring bands."""
     found = np.zeros(len(sizes), bool)
     of = bands(sizes, percent)
     for band in np.unique(of):
         at = np.flatnonzero((of == band) | (of == band + 1))
         if len(at) > 1 and not found[at].all():
-            found[at[SignatureTree(sizes[at], [bits[i] for i in at], percent).hopeful()]] = True
+            tree = SignatureTree(sizes[at], [bits[i] for i in at], percent)
+            if labels is not None:
+                tree.label = labels[at][tree.order]
+            found[at[tree.hopeful()]] = True
     return np.flatnonzero(found)
 
 
@@ -277,7 +285,10 @@ def _block_hopes(percent: int):
         block, ids, labels, sizes, bits = None, [], [], [], []
 
         def close() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1 and len(at := hopeful(np.array(sizes), bits, percent)):
+            if not ids:
+                return
+            of = None if labels[0] is None else np.unique(labels, return_inverse=True)[1]
+            if len(ids) > 1 and len(at := hopeful(np.array(sizes), bits, percent, of)):
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(at)), pa.array([ids[i] for i in at], pa.int64()), pa.array([labels[i] for i in at], pa.int64())], names=["block", "id", "label"])
 
         for batch in batches:
@@ -358,8 +369,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     empty table; columns other than the two named are not read.
     """
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    frequent = frequent_elements(texts, words)
-    sets = written(texts.mapInArrow(_describe(words, percent, frequent), "id long, n long, fp binary, prefix array<long>, bits binary"))
+    frequent, classes = frequent_elements(texts, words)
+    sets = written(texts.mapInArrow(_describe(words, percent, frequent, classes), "id long, n long, fp binary, prefix array<long>, bits binary"))
     same = sets.where("n > 0 and id is not null").groupBy("fp").agg(F.min("id").alias("rep"))
     sent = sets.where("n > 0 and id is not null").select("id", "n", F.explode("prefix").alias("token"))
     common = sets.sparkSession.createDataFrame([(int(x),) for x in frequent.view(np.int64)], "token long")
@@ -399,14 +410,16 @@ def _between(cut: DataFrame, joined: DataFrame, sets: DataFrame, texts: DataFram
     rows = cut.join(joined, "id", "left").select("leader", "id", "chunks", F.coalesce("component", "id").alias("label"))
     rows = written(rows)
     per = rows.groupBy("leader", "label").agg(F.count(F.lit(1)).alias("c"))
-    main = per.groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    rows = rows.join(main.where("labels > 1"), "leader")
     half = F.ceil(F.lit(2) * F.col("chunks"))
-    part = F.pmod(F.xxhash64("id"), half)
-    rows = rows.withColumn("part", part).withColumn("minor", F.col("label") != F.col("main"))
-    minors = rows.where("minor").select("leader", F.col("part").alias("mine")).distinct()
-    lone = rows.join(minors, "leader").where("not minor or part <> mine").select("leader", "mine", "part", "id", "label")
-    spread = rows.where("minor").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), half - 1)))
-    small = spread.select("leader", F.pmod(F.xxhash64("id"), half).alias("mine"), "part", "id", "label")
+    whole = F.sum("c").alias("whole"), F.max("c").alias("most")
+    main = per.groupBy("leader").agg(F.max_by("label", F.struct("c", "label")).alias("main"), *whole).where("whole > most")
+    # As many groups of minor members as hold about a part's number each.
+    groups = F.ceil(half * (F.col("whole") - F.col("most")) / F.col("whole"))
+    rows = rows.join(main, "leader").withColumn("half", half).withColumn("groups", groups)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), "half")).withColumn("minor", F.col("label") != F.col("main"))
+    rows = rows.withColumn("own", F.when(F.col("minor"), F.pmod(F.xxhash64("id", F.lit(1)), "groups")))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    lone = rows.withColumn("mine", each("groups")).where("not minor or own <> mine").select("leader", "mine", "part", "id", "label")
+    small = rows.where("minor").withColumn("part", each("half")).select("leader", F.col("own").alias("mine"), "part", "id", "label")
     members = lone.union(small).select(F.concat_ws("/", "leader", "mine", "part").alias("block"), "id", "label")
     return _traverse(members, sets, texts, words, percent, FEW)
