@@ -48,7 +48,7 @@ def event_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def trade_edges(spark: SparkSession, d: str) -> DataFrame:
     """Suppliers and the parts that they ship, as edges between numbers (parts are even, suppliers odd)."""
-    return _table(spark, d, "lineitem").select((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst")).distinct()
+    return gas.distinct_edges(_table(spark, d, "lineitem").select((F.col("l_suppkey") * 2 + 1).alias("src"), (F.col("l_partkey") * 2).alias("dst")))
 
 
 _TRADE = "e AS (SELECT DISTINCT l_suppkey * 2 + 1 AS src, l_partkey * 2 AS dst FROM lineitem)"

@@ -1,9 +1,10 @@
 """Vertex programs: gather from neighbours, sum, apply, scatter to a frontier.
 
 Graphs are edges (src, dst and, where needed, weight).  A program's state is a
-table with one row for each vertex, written after each round.  Sums are combined
-before the shuffle; a hot vertex is met by joins only, which adaptive execution
-splits.
+table with one row for each vertex, written after each round.  Edges are read
+once and dealt by their source into parts of about ``ROWS`` edges, where all
+rounds meet them, so that only states and sums move; sums are combined before
+the shuffle.  Edges of a hot vertex are dealt over several parts.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..store import written
 
 IN, OUT, ALL = "in", "out", "all"
+#: Rows of a part, about; parts grow in number, not in size.
+ROWS = 1 << 18
 
 
 def directed(edges: DataFrame, way: str) -> DataFrame:
@@ -33,15 +37,26 @@ def vertices(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
 
 
+def parts(rows: int) -> int:
+    """The number of parts for so many rows."""
+    return max(1, -(-rows // ROWS))
+
+
+def distinct_edges(rows: DataFrame) -> DataFrame:
+    """Distinct rows of a cheap scan, in as many parts as its rows need."""
+    return rows.repartition(parts(rows.count()), *rows.columns).distinct()
+
+
 @dataclass
 class Program:
     """A vertex program over state columns.
 
     ``init`` gives a vertex's state from ``id``; ``message`` what goes along an
-    edge from a frontier vertex (state columns, and edge columns such as
-    ``weight``); ``sum`` combines messages; ``apply`` the new state from the old
-    one and ``sum``; ``changed`` says which vertices are the next frontier, from
-    new columns and ``old_`` ones.
+    edge from a frontier vertex (state columns, ``degree``, which is the number
+    of edges that leave the vertex, and edge columns such as ``weight``); ``sum``
+    combines messages; ``apply`` the new state from the old one, ``sum`` and
+    ``round``; ``changed`` says which vertices are the next frontier, from new
+    columns and ``old_`` ones.
     """
 
     init: dict[str, Column]
@@ -58,34 +73,68 @@ def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, roun
     """State after no vertex changes, or after ``rounds`` if they are given.
 
     ``whole`` programs gather over all vertices in each round; others from the
-    frontier only.
+    frontier only.  A ``whole`` program's new state must follow from its sum
+    alone: when no vertex that sends has another state than before, later rounds
+    would repeat the last one and are left out.
     """
-    nodes = vertices(edges) if nodes is None else nodes.select("id").distinct()
     names = list(program.init)
-    state = nodes.select("id", *(c.alias(n) for n, c in program.init.items()))
-    state = written(state.withColumn("active", program.start if program.start is not None else F.lit(True)))
-    links = directed(edges, program.way)
-    for _ in count() if rounds is None else range(rounds):
-        from_ = state if program.whole else state.where("active")
-        sent = links.join(from_.select(F.col("id").alias("src"), *names), "src").select(F.col("dst").alias("id"), program.message.alias("m"))
-        sums = sent.groupBy("id").agg(program.sum(F.col("m")).alias("sum"))
-        met = state.select("id", *(F.col(n).alias(f"old_{n}") for n in names)).join(sums, "id", "left")
-        now = met.select("id", *(f"old_{n}" for n in names), *(program.apply[n].alias(n) for n in names))
-        state = written(now.select("id", *names, F.coalesce(program.changed, F.lit(False)).alias("active")))
-        if state.where("active").isEmpty():
-            break
+    links = written(directed(edges, program.way))
+    n = parts(links.count())
+    dealt = _dealt(links, n)
+    try:
+        state = _ends(dealt, nodes).select("id", *(c.alias(m) for m, c in program.init.items()), "degree")
+        state = written(state.withColumn("active", program.start if program.start is not None else F.lit(True)))
+        # At most n of them, as each has more links than a part.
+        hot = state.where(F.col("degree") > ROWS).select(F.col("id").alias("src"), F.ceil(F.col("degree") / ROWS).cast("int").alias("salts"))
+        hot = None if n == 1 or hot.isEmpty() else written(hot)
+        if hot is not None:
+            dealt.unpersist()
+            dealt = _dealt(links, n, hot)
+        for k in count(1) if rounds is None else range(1, rounds + 1):
+            from_ = state if program.whole else state.where("active")
+            from_ = from_.where("degree > 0").select(F.col("id").alias("src"), *names, "degree")
+            keys = ["src"]
+            if hot is not None:
+                from_ = from_.join(F.broadcast(hot), "src", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+                keys = ["src", "salt"]
+            sent = dealt.join(from_, keys).select(F.col("dst").alias("id"), program.message.alias("m"))
+            sums = sent.groupBy("id").agg(program.sum(F.col("m")).alias("sum"))
+            met = state.select("id", *(F.col(m).alias(f"old_{m}") for m in names), "degree", F.lit(k).alias("round")).join(sums, "id", "left")
+            now = met.select("id", *(f"old_{m}" for m in names), "degree", *(program.apply[m].alias(m) for m in names))
+            moved = reduce(Column.__or__, (~F.col(m).eqNullSafe(F.col(f"old_{m}")) for m in names)) & (F.col("degree") > 0)
+            state = written(now.select("id", *names, "degree", F.coalesce(program.changed, F.lit(False)).alias("active"), moved.alias("moved")))
+            if state.where("active").isEmpty() or program.whole and state.where("moved").isEmpty():
+                break
+    finally:
+        dealt.unpersist()
     return state.select("id", *names)
 
 
+def _dealt(links: DataFrame, n: int, hot: DataFrame | None = None) -> DataFrame:
+    """Links kept on disk in ``n`` parts by source; those of hot sources (src, salts) by ``salt`` too."""
+    keys = ["src"]
+    if hot is not None:
+        links = links.join(F.broadcast(hot), "src", "left").withColumn("salt", F.pmod(F.xxhash64("dst"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        keys = ["src", "salt"]
+    return links.repartition(n, *keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
+
+
+def _ends(links: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """Vertices (id, degree), those of ``nodes`` if they are given."""
+    both = F.array(F.struct(F.col("src").alias("id"), F.lit(1).alias("out")), F.struct(F.col("dst").alias("id"), F.lit(0).alias("out")))
+    ends = links.select(F.inline(both)).groupBy("id").agg(F.sum("out").alias("degree"))
+    return ends if nodes is None else nodes.select("id").distinct().join(ends, "id", "left").fillna(0, ["degree"])
+
+
 def bfs(edges: DataFrame, source: object, way: str = OUT, rounds: int | None = None) -> DataFrame:
     """(id, depth, predecessor): depth 0 at the source, -1 and no predecessor where not reached."""
     none = F.lit(None).cast(edges.schema["src"].dataType)
     found = run(
         Program(
             {"depth": F.when(F.col("id") == F.lit(source), 0), "predecessor": none},
-            F.struct((F.col("depth") + 1).alias("depth"), F.col("src").alias("predecessor")),
+            F.col("src"),
             F.min,
-            {"depth": F.coalesce("old_depth", "sum.depth"), "predecessor": F.when(F.col("old_depth").isNull(), F.col("sum.predecessor")).otherwise(F.col("old_predecessor"))},
+            {"depth": F.coalesce("old_depth", F.when(F.col("sum").isNotNull(), F.col("round"))), "predecessor": F.when(F.col("old_depth").isNull(), F.col("sum")).otherwise(F.col("old_predecessor"))},
             F.col("old_depth").isNull() & F.col("depth").isNotNull(),
             way,
             F.col("id") == F.lit(source),
@@ -127,13 +176,11 @@ def pagerank(edges: DataFrame, rounds: int = 20, damping: float = 0.85, epsilon:
 
     With ``epsilon`` it ends when no rank grows by more than that.
     """
-    degrees = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
-    weighted = edges.join(degrees, "src").select("src", "dst", "degree")
     base = F.lit(1 - damping)
     grown = F.col("rank") - F.col("old_rank") > epsilon if epsilon is not None else F.lit(True)
     return run(
         Program({"rank": base}, F.col("rank") / F.col("degree"), F.sum, {"rank": F.when(F.col("sum").isNull(), F.col("old_rank")).otherwise(base + F.lit(damping) * F.col("sum"))}, grown, whole=True),
-        weighted,
+        edges.select("src", "dst"),
         rounds=rounds,
     )
 
@@ -157,6 +204,7 @@ def sssp(edges: DataFrame, source: object, way: str = OUT, rounds: int | None =
 
 def fuzzy_sssp(edges: DataFrame, sources: list, targets: list, hops: int = 1) -> DataFrame:
     """Vertices on shortest unweighted ways between sources and targets, and those within ``hops`` of them."""
+    edges = written(edges)
     ends = {t: written(bfs(edges, t, IN).where("depth >= 0").select("id", F.col("depth").alias("back"))) for t in targets}
     ways = []
     for s in sources:
