@@ -59,3 +59,12 @@ def test_parts_grow_in_number_and_hot_vertices_are_spread(spark, monkeypatch):
             sums[b] += rank[a] / out[a]
         rank = {v: 0.15 + 0.85 * sums[v] for v in rank}
     assert {r.id: r["rank"] for r in gas.pagerank(edges, 3).collect()} == pytest.approx(rank)
+
+
+def test_undirected_walks_write_their_edges_once(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(gas, "written", lambda df, write=gas.written: tables.append(write(df)) or tables[-1])
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 4), (5, 6)], "src long, dst long")
+    found = {r.id: (r.depth, r.predecessor) for r in gas.bfs(edges, 1, gas.ALL).collect()}
+    assert found == {1: (0, None), 2: (1, 1), 3: (2, 2), 4: (3, 3), 5: (-1, None), 6: (-1, None)}
+    assert tables[0].columns == ["src", "dst"] and tables[0].count() == 4

@@ -78,7 +78,7 @@ def run(program: Program, edges: DataFrame, nodes: DataFrame | None = None, roun
     would repeat the last one and are left out.
     """
     names = list(program.init)
-    links = written(directed(edges, program.way))
+    links = directed(written(edges), program.way)
     n = parts(links.count())
     dealt = _dealt(links, n)
     try:
